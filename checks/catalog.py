@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checks.primitives import PRIMITIVES
 from checks.reports import REPORTS
 
-CHECKS = {**REPORTS}
+CHECKS = {**REPORTS, **PRIMITIVES}

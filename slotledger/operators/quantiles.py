@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 BINS_PER_E_FOLD = 200
 
 
-def sketch(value: Column | str, percent: int, accuracy: int = 10000) -> Column:
-    """Value at ``percent`` of the group, off by at most 1/accuracy of the group's size in rank."""
-    return F.percentile_approx(value, percent / 100.0, accuracy)
+def sketch(value: Column | str, percents: list[int], accuracy: int = 10000) -> Column:
+    """Values at the given percents as an array, from one sketch. Each is off by at most
+    1/accuracy of the group's size in rank, and the sketch does not grow with the group."""
+    return F.percentile_approx(value, [percent / 100.0 for percent in percents], accuracy)
 
 
 def discrete_median(column: str) -> Column:

@@ -53,16 +53,20 @@ def windowed_usage(per_second: DataFrame, keys: list[str], params: SlotParams =
 
 def _sizes(params: SlotParams) -> list:
     return [
-        quantiles.sketch("avg_slots", params.percentile, params.accuracy).alias("recommended_baseline"),
-        quantiles.sketch("max_slots", 90, params.accuracy).alias("recommended_max_p90"),
-        quantiles.sketch("max_slots", 99, params.accuracy).alias("recommended_max_p99"),
-        F.max("max_slots").alias("recommended_max_peak"),
+        quantiles.sketch("avg_slots", [params.percentile], params.accuracy).alias("averages"),
+        quantiles.sketch("max_slots", [90, 99], params.accuracy).alias("maxima"),
+        F.max("max_slots").alias("peak"),
     ]
 
 
 def _rounded_sizes() -> list:
-    names = ["recommended_baseline", "recommended_max_p90", "recommended_max_p99", "recommended_max_peak"]
-    return [to_nearest(F.col(name), SIZING_UNIT).alias(name) for name in names]
+    sizes = {
+        "recommended_baseline": F.get("averages", 0),
+        "recommended_max_p90": F.get("maxima", 0),
+        "recommended_max_p99": F.get("maxima", 1),
+        "recommended_max_peak": F.col("peak"),
+    }
+    return [to_nearest(size, SIZING_UNIT).alias(name) for name, size in sizes.items()]
 
 
 def slot_recommendations(timeline: DataFrame, params: SlotParams = SlotParams()) -> DataFrame:
@@ -137,12 +141,15 @@ def utilization_buckets(timeline: DataFrame, params: UtilizationParams = Utiliza
         F.sum("total_bytes_processed").alias("processed"),
     ]
     percents = {"p90_ms": 90, "p99_ms": 99}
+    # two ways to the same columns: one bounded sketch, or exact ranks from counted values
     if params.exact:
         ranks = quantiles.exact(rows, "period_min", "period_slot_ms", percents)
         buckets = rows.groupBy("period_min").agg(*sums).join(ranks, "period_min", "left")
     else:
-        sketches = [quantiles.sketch("period_slot_ms", p, params.accuracy).alias(n) for n, p in percents.items()]
-        buckets = rows.groupBy("period_min").agg(*sums, *sketches)
+        both = quantiles.sketch("period_slot_ms", list(percents.values()), params.accuracy).alias("ranks")
+        buckets = rows.groupBy("period_min").agg(*sums, both).withColumns(
+            {name: F.get("ranks", position) for position, name in enumerate(percents)}
+        )
     # a whole-number sum is the exact value of the decimal one; the quotient keeps nine decimals
     average = (costs.or_zero(F.col("slot_ms")).cast("decimal(38,9)") / length_ms).cast("decimal(38,9)")
     figures = buckets.select(
