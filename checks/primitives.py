@@ -216,7 +216,7 @@ def changes_seen(i: Inputs) -> DataFrame:
     jobs = i.jobs.select("job_id", "creation_time", name.alias("reservation_name"))
     seen = asof_backward(
         jobs, i.reservation_changes, "creation_time", "change_timestamp", ["action", "slot_capacity"],
-        by=["reservation_name"],
+        times.instant(AS_OF), by=["reservation_name"],
     )
     return seen.groupBy("reservation_name", "action").agg(
         F.count("*").alias("n"), F.sum("slot_capacity").alias("capacity")

@@ -21,16 +21,29 @@ def _struct(names: list[str]) -> Column:
 def lag_row(
     df: DataFrame, keys: list[str], order: list[str], carried: list[str], into: str, unit: str = "DAY"
 ) -> DataFrame:
-    """The previous row of each key as struct ``into``, NULL on the first; ``order[0]`` is a timestamp."""
-    rows = df.withColumns({KEY: _struct(keys), BLOCK: F.date_trunc(unit, order[0])})
+    """The previous row of each key as struct ``into``, NULL on the first.
+
+    ``order[0]`` is a timestamp, rows without it are left out, and the order is total. The last
+    row of each block is handed to the next block of its key.
+    """
+    others = [c for c in df.columns if c not in keys]
+    rows = df.select(_struct(keys).alias(KEY), F.date_trunc(unit, order[0]).alias(BLOCK), *others)
+    # the join below implies this; said here, both uses of the rows share one scan and shuffle
+    rows = rows.filter(F.col(BLOCK).isNotNull())
     inside = Window.partitionBy(KEY, BLOCK).orderBy(*order)
-    tails = rows.groupBy(KEY, BLOCK).agg(F.max_by(_struct(carried), _struct(order)).alias(CARRY))
-    before = tails.withColumn(CARRY, F.lag(CARRY).over(Window.partitionBy(KEY).orderBy(BLOCK)))
+    last = rows.withColumn("_later", F.lead(F.lit(1)).over(inside)).filter(F.col("_later").isNull())
+    handed = F.lag(_struct(carried)).over(Window.partitionBy(KEY).orderBy(BLOCK))
+    before = last.select(KEY, BLOCK, handed.alias(CARRY))
+    # column by column: a struct would be built below the shuffle and make it another one
+    lags = {f"_lag_{c}": F.lag(c).over(inside) for c in carried}
+    within = F.struct(*[F.col(f"_lag_{c}").alias(c) for c in carried])
     return (
-        rows.withColumn(into, F.lag(_struct(carried)).over(inside))
-        .join(before, [KEY, BLOCK], "left")
-        .withColumn(into, F.coalesce(into, CARRY))
-        .drop(KEY, BLOCK, CARRY)
+        rows.withColumns({**lags, "_has_lag": F.lag(F.lit(True)).over(inside)})
+        .join(before, [KEY, BLOCK])
+        .select(
+            *([f"{KEY}.*"] if keys else []), *others,
+            F.when(F.col("_has_lag"), within).otherwise(F.col(CARRY)).alias(into),
+        )
     )
 
 
@@ -64,35 +77,41 @@ def asof_backward(
     left_ts: str,
     right_ts: str,
     values: list[str],
+    until: Column,
     by: list[str] | None = None,
     sequence: list[str] | None = None,
     unit: str = "HOUR",
 ) -> DataFrame:
     """Each left row with ``values`` of the latest right row at or before it, NULL if none.
 
-    Left rows are kept one for one. Among right rows with equal time, the last by ``sequence`` wins.
+    Left rows are kept one for one and read once. Among right rows with equal time, the last by
+    ``sequence`` wins. The last right row of a block is repeated at the start of every block up to
+    the key's next one, so no row looks beyond its block. Rows after ``until`` share its block,
+    so it should be near the end of the data; results do not depend on it.
     """
     by, sequence = by or [], sequence or []
+    horizon, step = F.date_trunc(unit, until), F.expr(f"interval 1 {unit}")
+    block = F.least(F.date_trunc(unit, "_ts"), horizon)
     left_rows = left.select(
-        _struct(by).alias(KEY), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), _struct(left.columns).alias("_row")
-    )
+        _struct(by).alias(KEY), F.col(left_ts).alias("_ts"), F.lit(2).alias("_side"), _struct(left.columns).alias("_row")
+    ).withColumn(BLOCK, block)
     right_rows = right.select(
-        _struct(by).alias(KEY), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"),
+        _struct(by).alias(KEY), F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"),
         _struct(sequence).alias("_seq"), _struct(values).alias("_value"),
+    ).withColumn(BLOCK, block)
+    following = F.coalesce(F.lead(BLOCK).over(Window.partitionBy(KEY).orderBy(BLOCK)), horizon)
+    repeated = (
+        right_rows.groupBy(KEY, BLOCK).agg(F.max_by("_value", F.struct("_ts", "_seq")).alias("_value"))
+        .withColumn("_following", following)
+        .filter(F.col(BLOCK) < F.col("_following"))
+        .select(KEY, "_value", F.lit(0).alias("_side"),
+                F.explode(F.sequence(F.col(BLOCK) + step, F.col("_following"), step)).alias(BLOCK))
+        .withColumn("_ts", F.col(BLOCK))
     )
-    rows = right_rows.unionByName(left_rows, allowMissingColumns=True).withColumn(BLOCK, F.date_trunc(unit, "_ts"))
+    rows = right_rows.unionByName(repeated, allowMissingColumns=True).unionByName(left_rows, allowMissingColumns=True)
     inside = (
         Window.partitionBy(KEY, BLOCK).orderBy("_ts", "_side", "_seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    moment = F.when(F.col("_side") == 0, F.struct("_ts", "_seq"))
-    tails = rows.groupBy(KEY, BLOCK).agg(F.max_by("_value", moment).alias(CARRY))
-    earlier = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before = tails.withColumn(CARRY, F.last(CARRY, ignorenulls=True).over(earlier))
-    matched = (
-        rows.withColumn("_value", F.last("_value", ignorenulls=True).over(inside))
-        .filter(F.col("_side") == 1)
-        .join(before, [KEY, BLOCK], "left")
-        .withColumn("_value", F.coalesce("_value", CARRY))
-    )
+    matched = rows.withColumn("_value", F.last("_value", ignorenulls=True).over(inside)).filter(F.col("_side") == 2)
     return matched.select("_row.*", *[F.col(f"_value.{v}").alias(v) for v in values])

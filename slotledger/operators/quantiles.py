@@ -23,13 +23,16 @@ def discrete_median(column: str) -> Column:
 def exact(df: DataFrame, key: str, value: str, percents: dict[str, int]) -> DataFrame:
     """Exact discrete percentiles of a non-negative whole-number column per ``key``.
 
-    Values are counted first, which spreads a hot key over its distinct values. A histogram with
+    Values without a key are left out. Values are counted first, which spreads a hot key over its distinct values. A histogram with
     logarithmic bins then tells which bin holds each rank, and only that bin is ordered.
     """
     bin_of = F.floor(F.log1p(F.col(value).cast("double")) * BINS_PER_E_FOLD)
     counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+        df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value)
+        .agg(F.count("*").alias("_n"))
         .withColumn("_bin", bin_of)
+        # the join below implies this; said here, both uses of the counts share one scan and shuffle
+        .filter(F.col("_bin").isNotNull())
     )
     per_key = Window.partitionBy(key)
     upto = per_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotledger.functions import costs
 from slotledger.functions import predicates as only
 from slotledger.functions.times import since, whole_milliseconds
+from slotledger.operators.topk import top_rows
 from slotledger.params import JobCostParams
 from slotledger.sources.tables import shape_jobs
 
@@ -35,7 +36,7 @@ def largest_jobs(jobs: DataFrame, params: JobCostParams = JobCostParams()) -> Da
     )
     if params.limit_jobs is None:
         return eligible
-    return eligible.orderBy(F.desc("total_bytes_billed"), "job_id", "project_id").limit(params.limit_jobs)
+    return top_rows(eligible, [F.desc("total_bytes_billed"), "job_id", "project_id"], params.limit_jobs)
 
 
 def _costed(jobs: DataFrame, params: JobCostParams) -> DataFrame:
@@ -85,10 +86,9 @@ def project_cost_summary(jobs: DataFrame, params: JobCostParams = JobCostParams(
 def top_jobs(jobs: DataFrame, params: JobCostParams = JobCostParams()) -> DataFrame:
     """The costed jobs that would save most, with the cheaper plan; the category filter comes after the cut."""
     on_demand, editions = F.col("on_demand_cost"), F.col("editions_cost")
+    order = [F.desc("waste_savings"), F.desc("total_bytes_billed"), "job_id", "project_id"]
     return (
-        _costed(jobs, params)
-        .orderBy(F.desc("waste_savings"), F.desc("total_bytes_billed"), "job_id", "project_id")
-        .limit(params.limit_top_jobs)
+        top_rows(_costed(jobs, params), order, params.limit_top_jobs)
         .filter(F.col("category").contains(params.category_filter) if params.category_filter else F.lit(True))
         .select(
             *JOB_COLUMNS,

@@ -174,7 +174,9 @@ def utilization_vs_provisioned(
         F.date_trunc("second", "change_timestamp").alias("at"), "change_timestamp", "baseline_slots", "current_slots"
     )
     provided = ["baseline_slots", "current_slots"]
-    joined = asof_backward(buckets, steps, "period_min", "at", provided, sequence=["change_timestamp"])
+    joined = asof_backward(
+        buckets, steps, "period_min", "at", provided, _span(provisioning)[1], sequence=["change_timestamp"]
+    )
     return joined.orderBy("period_min").select(
         iso_text(F.col("period_min"), utilization.timezone).alias("timestamp"),
         *[c for c in buckets.columns if c != "period_min"],

@@ -9,6 +9,7 @@ from slotledger.functions import costs
 from slotledger.functions.predicates import is_query
 from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import since
+from slotledger.operators.topk import top_rows
 from slotledger.params import SpenderParams
 
 
@@ -23,11 +24,9 @@ def top_spenders(jobs: DataFrame, params: SpenderParams = SpenderParams()) -> Da
             F.sum("total_bytes_billed").alias("billed"),
             F.sum("total_slot_ms").alias("slot_ms"),
         )
-        .orderBy(F.desc("billed"), "user_email")
-        .limit(params.limit_users)
     )
     hours = costs.slot_hours(F.col("slot_ms"))
-    figures = users.select(
+    figures = top_rows(users, [F.desc("billed"), "user_email"], params.limit_users).select(
         "user_email", "query_count",
         costs.or_zero(F.col("billed")).alias("total_bytes_billed"),
         hours.alias("total_slot_hours"),

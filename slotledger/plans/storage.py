@@ -77,10 +77,10 @@ def _switch_statement(params: StorageParams):
     return F.concat(*head, *model, tail)
 
 
-def storage_recommendations(
+def dearer_datasets(
     table_storage: DataFrame, schemata_options: DataFrame, params: StorageParams = StorageParams()
 ) -> DataFrame:
-    """Datasets on the dearer model, with what a switch would save, best first."""
+    """Datasets on the dearer model, with what a switch would save, in no order."""
     forecast = storage_forecast(table_storage, params)
     # both sides are grouped by the join keys already, so the join adds no shuffle of the forecast
     on_physical = physical_datasets(schemata_options).withColumn("on_physical", F.lit(True))
@@ -111,11 +111,19 @@ def storage_recommendations(
             "better_on", "currently_on", "monthly_spending", "monthly_savings", "monthly_savings_pct",
             _switch_statement(params).alias("ddl"),
         )
-        .orderBy(F.desc("monthly_savings"), "project_name", "dataset_name")
     )
 
 
+def storage_recommendations(
+    table_storage: DataFrame, schemata_options: DataFrame, params: StorageParams = StorageParams()
+) -> DataFrame:
+    """Datasets on the dearer model, the largest saving first."""
+    found = dearer_datasets(table_storage, schemata_options, params)
+    return found.orderBy(F.desc("monthly_savings"), "project_name", "dataset_name")
+
+
 def storage_kpis(recommendations: DataFrame) -> DataFrame:
+    """Total saving, distinct datasets and number of rows of recommendations, in any order."""
     named = F.concat_ws(
         ".", F.coalesce("project_name", F.lit("null")), F.coalesce("dataset_name", F.lit("null"))
     )

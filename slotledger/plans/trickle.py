@@ -11,6 +11,7 @@ from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import hour_and_weekday, since, whole_milliseconds, whole_seconds
 from slotledger.operators.grids import week_grid
 from slotledger.operators.quantiles import discrete_median
+from slotledger.operators.topk import top_rows
 from slotledger.params import TrickleParams
 from slotledger.session import require_utc
 from slotledger.sources.tables import shape_jobs
@@ -133,7 +134,7 @@ def _most_frequent(jobs: DataFrame, params: TrickleParams) -> DataFrame:
         F.sum("run_seconds").alias("seconds"), F.count("run_seconds").alias("seconds_n"),
         F.sum("total_bytes_processed").alias("bytes"), F.count("total_bytes_processed").alias("bytes_n"),
     )
-    return (
+    frequent = (
         by_hash.join(flagged.select("hour_bucket", "reservation_id"), ["hour_bucket", "reservation_id"])
         .groupBy("query_hash")
         .agg(
@@ -143,12 +144,10 @@ def _most_frequent(jobs: DataFrame, params: TrickleParams) -> DataFrame:
             F.try_divide(F.sum("seconds"), F.sum("seconds_n")).alias("avg_seconds"),
             F.try_divide(F.sum("bytes"), F.sum("bytes_n")).alias("avg_bytes"),
         )
-        .orderBy(F.desc("frequency"), "query_hash")
-        .limit(params.top_queries)
-        .select(
-            "query_hash", "frequency", "avg_slot_ms", "avg_seconds", "avg_bytes",
-            F.col("example.job_id").alias("example_job_id"), F.col("example.project_id").alias("project_id"),
-        )
+    )
+    return top_rows(frequent, [F.desc("frequency"), "query_hash"], params.top_queries).select(
+        "query_hash", "frequency", "avg_slot_ms", "avg_seconds", "avg_bytes",
+        F.col("example.job_id").alias("example_job_id"), F.col("example.project_id").alias("project_id"),
     )
 
 

@@ -29,11 +29,11 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
 
 
 def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a metadata table; logs are split by day, each day by its own tasks."""
+    """Write a metadata table; logs are split by day and sorted by time."""
     if name in DAY_PARTITIONS:
         ts, part = DAY_PARTITIONS[name]
-        # the hour keeps a busy day from landing in one task
-        df = df.withColumn(part, F.to_date(ts)).repartition(F.date_trunc("hour", ts))
+        # ranges of equal size, so that a busy day is written by many tasks
+        df = df.withColumn(part, F.to_date(ts)).repartitionByRange(ts)
         df.sortWithinPartitions(ts).write.mode(mode).format(fmt).partitionBy(part).save(f"{root}/{name}")
     else:
         df.write.mode(mode).format(fmt).save(f"{root}/{name}")
