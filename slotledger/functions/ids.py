@@ -18,14 +18,22 @@ def short_id(reservation_id: Column) -> Column:
     )
 
 
-def _parts(reservation_id: Column) -> Column:
-    return F.split(F.replace(reservation_id, F.lit("."), F.lit(":")), ":")
+def _with_colons(reservation_id: Column) -> Column:
+    return F.replace(reservation_id, F.lit("."), F.lit(":"))
 
 
 def admin_project(reservation_id: Column) -> Column:
-    """The owning project, where the identifier names one."""
-    return F.when(reservation_id.contains(":"), F.element_at(_parts(reservation_id), 1))
+    """The owning project, the first part, where the identifier has a colon."""
+    return F.when(reservation_id.contains(":"), F.substring_index(_with_colons(reservation_id), ":", 1))
+
+
+def names_admin_project(reservation_id: Column) -> Column:
+    """Whether :func:`admin_project` is there and not empty, without taking the identifier apart."""
+    return (
+        reservation_id.contains(":") & ~reservation_id.startswith(":") & ~reservation_id.startswith(".")
+    )
 
 
 def clean_id(reservation_id: Column) -> Column:
-    return F.element_at(_parts(reservation_id), -1)
+    """The last part, whatever parts it from the rest."""
+    return F.substring_index(_with_colons(reservation_id), ":", -1)

@@ -100,12 +100,9 @@ def all_slot_recommendations(timeline: DataFrame, params: SlotParams = SlotParam
 def current_reservations(timeline: DataFrame, reservations: DataFrame, params: SlotParams = SlotParams()) -> DataFrame:
     """Reservations of every admin project that usage names, or of the organisation's project if none."""
     res = F.col("reservation_id")
-    used = _reserved(timeline, params).select("reservation_id").distinct()
-    admins = (
-        used.select(ids.admin_project(res).alias("admin_project_id"))
-        .filter(F.coalesce(F.length("admin_project_id"), F.lit(0)) > 0)
-        .distinct()
-    )
+    # the filter is cheap and runs next to the scan
+    used = _reserved(timeline, params).filter(ids.names_admin_project(res)).select("reservation_id").distinct()
+    admins = used.select(ids.admin_project(res).alias("admin_project_id")).distinct()
     fallback = (
         admins.agg(F.count("*").alias("n"))
         .filter((F.col("n") == 0) & F.lit(params.org_project_id is not None))

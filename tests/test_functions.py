@@ -39,14 +39,16 @@ def test_nearest_fifty_takes_the_even_multiple(spark):
     ("US.res", "res", "res", None, "res"),
     ("res", "res", "res", None, "res"),
     ("a.b:US.r", "r", "r", "a", "r"),
+    (":US.r", "r", "r", "", "r"),
+    (".x:r", "x:r", "x:r", "", "r"),
     (None, None, None, None, None),
 ])
 def test_reservation_ids(spark, given, short, shown, admin, clean):
     x = F.col("x")
     row = values(spark, [given], "string").select(
-        ids.short_id(x), ids.display_id(x), ids.admin_project(x), ids.clean_id(x)
+        ids.short_id(x), ids.display_id(x), ids.admin_project(x), ids.clean_id(x), ids.names_admin_project(x)
     ).first()
-    assert tuple(row) == (short, shown, admin, clean)
+    assert tuple(row) == (short, shown, admin, clean, None if given is None else bool(admin))
 
 
 def test_iso_text_over_a_clock_change(spark):
