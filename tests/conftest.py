@@ -34,5 +34,5 @@ def stored(spark, tmp_path_factory):
     from checks.inputs import Inputs, StoredInputs, store
 
     root = str(tmp_path_factory.mktemp("stored"))
-    store(Inputs(spark, "/root/testdata/sf0.001"), root)
+    store(Inputs(spark, SF_DIR), root)
     return StoredInputs(spark, root)
