@@ -9,6 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slotledger.sources.tables import write_table
+
 AS_OF = "2024-01-04 00:00:00"
 
 DIALECTS = {
@@ -202,8 +204,9 @@ class StoredInputs(Inputs):
 
 
 def store(inputs: Inputs, root: str) -> None:
-    from slotledger.sources.tables import write_table
-
+    """Write every derived table; what derives from jobs reads the jobs just written."""
     for name in TEXTS:
         if name != "jobs_base":
             write_table(inputs.derived(name), root, name)
+        if name == "jobs":
+            inputs.jobs = StoredInputs(inputs.spark, root).jobs

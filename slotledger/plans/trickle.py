@@ -17,6 +17,9 @@ from slotledger.session import require_utc
 from slotledger.sources.tables import shape_jobs
 
 
+BROADCAST_ROWS = 10000
+
+
 def reserved_queries(jobs: DataFrame, params: TrickleParams = TrickleParams()) -> DataFrame:
     """Reserved queries of the look-back with their hour and run time."""
     require_utc(jobs.sparkSession)
@@ -155,13 +158,15 @@ def trickle_top_queries(jobs: DataFrame, jobs_text: DataFrame, params: TricklePa
     """The most frequent queries of the flagged hours, with text and advice.
 
     The text table is joined with a broadcast of at most ``top_queries`` rows, so it is scanned
-    but never shuffled. Rows with text are then added to the rows without, and one of each kept.
+    but not shuffled. For very long lists the join is left to the optimizer. Rows with text are
+    then added to the rows without, and one of each kept.
     """
     top = _most_frequent(jobs, params)
+    looked_up = F.broadcast(top) if params.top_queries <= BROADCAST_ROWS else top
     texts = jobs_text.select(
         F.col("project_id"), F.col("job_id").alias("example_job_id"), costs.shown_text(F.col("query")).alias("query")
     )
-    found = texts.join(F.broadcast(top), ["project_id", "example_job_id"])
+    found = texts.join(looked_up, ["project_id", "example_job_id"])
     keys = top.columns
     shown = (
         top.withColumn("query", F.lit(None).cast("string"))
