@@ -23,8 +23,9 @@ def discrete_median(column: str) -> Column:
 def exact(df: DataFrame, key: str, value: str, percents: dict[str, int]) -> DataFrame:
     """Exact discrete percentiles of a non-negative whole-number column per ``key``.
 
-    Values without a key are left out. Values are counted first, which spreads a hot key over its distinct values. A histogram with
-    logarithmic bins then tells which bin holds each rank, and only that bin is ordered.
+    Values without a key are left out. Values are counted first, which spreads a hot key over its
+    distinct values. A histogram with logarithmic bins then tells which bin holds each rank, and
+    only that bin is ordered.
     """
     bin_of = F.floor(F.log1p(F.col(value).cast("double")) * BINS_PER_E_FOLD)
     counts = (
@@ -38,16 +39,17 @@ def exact(df: DataFrame, key: str, value: str, percents: dict[str, int]) -> Data
     upto = per_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = counts.groupBy(key, "_bin").agg(F.sum("_n").alias("_n"))
     bins = bins.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(per_key)})
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("_all") * percent / 100), F.lit(1)).alias("rank"))
-        for name, percent in percents.items()
-    ])
-    targets = bins.select(key, "_bin", (F.col("_upto") - F.col("_n")).alias("_below"), "_upto", F.explode(wanted).alias("_p"))
-    targets = targets.filter((F.col("_p.rank") > F.col("_below")) & (F.col("_p.rank") <= F.col("_upto"))).select(
-        key, "_bin", "_below", "_p.name", "_p.rank"
+    rank = {name: F.greatest(F.ceil(F.col("_all") * percent / 100), F.lit(1)) for name, percent in percents.items()}
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.alias("rank")) for name, r in rank.items()])
+    bins = bins.withColumn("_below", F.col("_upto") - F.col("_n"))
+    targets = (
+        bins.select(key, "_bin", "_below", "_upto", F.inline(wanted))
+        .filter((F.col("rank") > F.col("_below")) & (F.col("rank") <= F.col("_upto")))
+        .drop("_upto")
     )
     # each (key, name) has one bin, so this window orders the values of that bin only
-    in_bin = Window.partitionBy(key, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_bin = Window.partitionBy(key, "name").orderBy(value)
+    in_bin = in_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.join(targets, [key, "_bin"]).withColumn("_in_bin", F.sum("_n").over(in_bin))
     found = ranked.filter(F.col("_below") + F.col("_in_bin") >= F.col("rank"))
     picks = [F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in percents]

@@ -78,8 +78,8 @@ def cost_attribution(jobs: DataFrame, rates: DataFrame, params: AttributionParam
     central = priced.filter(
         (F.col("waste_rule") == "B") & (F.length("central_project") > 0) & (F.col("waste") > 0)
     ).select(F.col("central_project").alias("project_id"), "reservation_id", F.lit(0.0).alias("direct"), "waste")
+    charges = [F.col("direct"), F.col("waste"), F.col("direct") + F.col("waste")]
     money = detail.unionByName(central).select(
-        "project_id", "reservation_id",
-        *[value.alias(name) for name, value in zip(MONEY, [F.col("direct"), F.col("waste"), F.col("direct") + F.col("waste")])],
+        "project_id", "reservation_id", *[charge.alias(name) for name, charge in zip(MONEY, charges)]
     )
     return round_columns(money, dict.fromkeys(MONEY, 2))

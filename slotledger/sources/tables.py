@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
     return spark.read.schema(schema).format(fmt).load(f"{root}/{name}")
 
 
-def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", mode: str = "error") -> None:
     """Write a metadata table; logs are split by day and sorted by time."""
     if name in DAY_PARTITIONS:
         ts, part = DAY_PARTITIONS[name]
