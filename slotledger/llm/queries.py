@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slotledger.llm import packing, pieces, token_files
 from slotledger.llm.minhash import MinHashParams, near_duplicates
-from slotledger.llm.shared import ship
+from slotledger.llm.shared import new_path, ship
+
+
+PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the box keeps a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +31,34 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashParams(shingle=2))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path(PIECE_MODEL)
+    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL), path)
+    rows = token_files.read_tokens(spark, path)
+    found = token_files.with_starts(rows, token_files.checksums(rows))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_files": op4_token_files,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
