@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import packing, pieces, token_files
+from slotledger.llm import embeddings, packing, pieces, token_files, topk, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
 from slotledger.llm.shared import new_path, ship
 
@@ -27,6 +27,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(vectors.finite("embedding"))
+    whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long"))
+    rows = rows.select(F.col("vec_id").alias("id"), whole.alias("vector"))
+    return topk.top_k(rows.where("id % 20 = 0"), rows)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashParams(shingle=2))
 
@@ -54,11 +61,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
 
 
+def op10_quantised_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_segment_top_k": op1_segment_top_k,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
     "op9_packing": op9_packing,
+    "op10_quantised_cosine": op10_quantised_cosine,
 }
 
 ORACLE_SQL: dict[str, str] = {}
