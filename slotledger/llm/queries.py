@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import embeddings, packing, pieces, token_files, topk, vectors
+from slotledger.llm import embeddings, packing, pieces, quality, token_files, topk, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
 from slotledger.llm.shared import new_path, ship
 
@@ -57,6 +57,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = quality.train(documents, _table(spark, sf_dir, "labels"), remainder != 2)
+    return quality.score(documents, model).select("doc_id", (remainder == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
+    "op8_additive_quality": op8_additive_quality,
     "op9_packing": op9_packing,
     "op10_quantised_cosine": op10_quantised_cosine,
 }
