@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import embeddings, packing, pieces, quality, token_files, topk, vectors
+from slotledger.llm import embeddings, packing, pieces, preferences, quality, token_files, topk, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
 from slotledger.llm.shared import new_path, ship
 
@@ -57,6 +57,19 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as the chosen and the rejected one of pair k."""
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.expr("conv_id div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text"
+    )
+    pairs = preferences.preference_pairs(turns)
+
+    def as_text(mask: str):
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+
+    return pairs.withColumns({m: as_text(m) for m in ("chosen_mask", "rejected_mask")})
+
+
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -77,9 +90,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
+    "op5_preference_chat": op5_preference_chat,
     "op8_additive_quality": op8_additive_quality,
     "op9_packing": op9_packing,
     "op10_quantised_cosine": op10_quantised_cosine,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What the operators on texts and vectors compute is not SQL: MinHash, merges, files, models, packing.
+ORACLE_SQL: dict[str, str] = {
+    "op1_segment_top_k": """
+with v as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as w
+  from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len(embedding) > 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum([q.w[i] * c.w[i] for i in range(1, len(q.w) + 1)]) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.w) = len(c.w)
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify rank <= 20""",
+    "op5_preference_chat": r"""
+with t as (
+  select conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+  from conversations where conv_id is not null
+), same as (
+  select a.pair_id, a.i from t a join t b on a.pair_id = b.pair_id and a.side = 0 and b.side = 1
+    and a.i = b.i and a.role = b.role and a.text = b.text
+), common as (
+  select pair_id, count(*) as n from (
+    select pair_id, i, row_number() over (partition by pair_id order by i) as k from same
+  ) where i = k group by pair_id
+), r as (
+  select t.*, coalesce(n, 0) as n, '<|im_start|>' || role || chr(10) as head,
+    '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as whole
+  from t left join common using (pair_id)
+), placed as (
+  select *, coalesce(sum(length(whole)) filter (where i > n)
+    over (partition by pair_id, side order by i rows between unbounded preceding and 1 preceding), 0) as shift
+  from r
+)
+select pair_id, max(n) as prompt_turns,
+  coalesce(string_agg(whole, '' order by i) filter (where side = 0 and i <= n), '') as prompt,
+  case when count(*) filter (where side = 0) > 0
+    then coalesce(string_agg(whole, '' order by i) filter (where side = 0 and i > n), '') end as chosen,
+  case when count(*) filter (where side = 0) > 0 then coalesce(string_agg(
+    cast(shift + length(head) as bigint) || ':' || cast(shift + length(whole) as bigint), ',' order by i)
+    filter (where side = 0 and i > n and role = 'assistant'), '') end as chosen_mask,
+  case when count(*) filter (where side = 1) > 0
+    then coalesce(string_agg(whole, '' order by i) filter (where side = 1 and i > n), '') end as rejected,
+  case when count(*) filter (where side = 1) > 0 then coalesce(string_agg(
+    cast(shift + length(head) as bigint) || ':' || cast(shift + length(whole) as bigint), ',' order by i)
+    filter (where side = 1 and i > n and role = 'assistant'), '') end as rejected_mask
+from placed group by pair_id""",
+}
