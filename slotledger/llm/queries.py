@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import embeddings, packing, pieces, preferences, quality, token_files, topk, vectors
+from slotledger.llm import embeddings, packing, pieces, preferences, quality, secrets, token_files, topk, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
 from slotledger.llm.shared import new_path, ship
 
@@ -70,6 +70,23 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({m: as_text(m) for m in ("chosen_mask", "rejected_mask")})
 
 
+def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = secrets.scan(documents, secrets.train(documents))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(secrets.KINDS[:3]))
+    return found.select(
+        "doc_id", *map(count, secrets.KINDS[:3]),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -91,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
     "op5_preference_chat": op5_preference_chat,
+    "op7_secret_formats": op7_secret_formats,
     "op8_additive_quality": op8_additive_quality,
     "op9_packing": op9_packing,
     "op10_quantised_cosine": op10_quantised_cosine,
