@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import embeddings, packing, pieces, preferences, quality, secrets, token_files, topk, vectors
+from slotledger.llm import embeddings, packing, pieces, pitman_yor, preferences, quality, secrets, token_files, topk, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
 from slotledger.llm.shared import new_path, ship
 
@@ -70,6 +70,16 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({m: as_text(m) for m in ("chosen_mask", "rejected_mask")})
 
 
+def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    model = pitman_yor.train(documents, remainder != 0)
+    return pitman_yor.score(documents, model).select(
+        "doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     found = secrets.scan(documents, secrets.train(documents))
@@ -108,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
     "op5_preference_chat": op5_preference_chat,
+    "op6_pitman_yor_scores": op6_pitman_yor_scores,
     "op7_secret_formats": op7_secret_formats,
     "op8_additive_quality": op8_additive_quality,
     "op9_packing": op9_packing,
