@@ -243,6 +243,17 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, params: Qualit
     return fit(x, np.array([float(r.quality) for r in rows]), params)
 
 
+def keep(documents: DataFrame, model: Gam, params: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of ``documents`` (with all columns) whose text is predicted to be good, without a shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(model.scores(features(part.column("text"))) >= params.threshold))
+
+    return documents.mapInArrow(work, documents.schema)
+
+
 def score(documents: DataFrame, model: Gam, params: QualityParams = QualityParams()) -> DataFrame:
     """``(doc_id, score, predicted)`` for each row of ``documents(doc_id, text)``.
 

@@ -137,6 +137,51 @@ def train(documents: DataFrame, params: SecretParams = SecretParams()) -> dict[s
     return {k: learn(v) for k, v in examples.items() if v or k == "other"}
 
 
+def _added(scanned: Scanned, automata: dict[str, Automaton], params: SecretParams) -> list[tuple[int, int, int, int]]:
+    """Further spans of the kind ``format``, as ``(row, start, kind, end)`` in bytes."""
+    known = [a for k, a in automata.items() if k != "other"]
+    begin, end = scanned.others(params.shortest)
+    if not known or not len(begin):
+        return []
+    symbols, sizes = CLASSES[scanned.data], end - begin
+    best = np.min([a.costs(symbols, begin, sizes) for a in known], axis=0)
+    found = automata["other"].costs(symbols, begin, sizes) - best > params.margin * sizes
+    row = np.searchsorted(scanned.offsets, begin[found], side="right") - 1
+    return [(r, b, 3, e) for r, b, e in zip(row.tolist(), begin[found].tolist(), end[found].tolist(), strict=True)]
+
+
+def redact(documents: DataFrame, automata: dict[str, Automaton], mark: str, params: SecretParams = SecretParams()) -> DataFrame:
+    """``documents`` with the value of every span in ``text`` replaced by ``mark``, and ``n_chars`` to match.
+
+    Of an ``assign`` span the value alone is replaced; spans that overlap are replaced once. Texts
+    without spans, and null texts, stay as they are.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                scanned = Scanned(part.column("text"))
+                rows = [(int(r), int(b), int(e)) for r, b, e in scanned.spans[:, [0, 4, 5]]]
+                rows += [(r, b, e) for r, b, _, e in _added(scanned, automata, params)]
+                texts, sizes = part.column("text").to_pylist(), part.column("n_chars").to_pylist()
+                whole, done = scanned.data.tobytes(), {}
+                for r, begin, end in sorted(rows):
+                    pieces, at = done.setdefault(r, ([], int(scanned.offsets[r])))
+                    if begin >= at:
+                        pieces += [whole[at:begin], mark.encode()]
+                    done[r] = pieces, max(at, end)
+                for r, (pieces, at) in done.items():
+                    texts[r] = (b"".join(pieces) + whole[at : int(scanned.offsets[r + 1])]).decode()
+                    sizes[r] = len(texts[r])
+                columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+                yield pa.RecordBatch.from_arrays(
+                    [columns.get(n, part.column(k)) for k, n in enumerate(part.schema.names)], part.schema.names
+                )
+
+    typed = documents.withColumns({"text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("long")})
+    return typed.mapInArrow(work, typed.schema)
+
+
 def scan(documents: DataFrame, automata: dict[str, Automaton], params: SecretParams = SecretParams()) -> DataFrame:
     """``(doc_id, spans)`` for each row of ``documents(doc_id, text)``; spans are ``(kind, start, end)``.
 
@@ -144,23 +189,11 @@ def scan(documents: DataFrame, automata: dict[str, Automaton], params: SecretPar
     null or empty text has none. Rows that repeat or lack a doc_id are scanned each for itself;
     other columns are not read. Without any automaton for credentials there are base spans only.
     """
-    known = [a for k, a in automata.items() if k != "other"]
-
-    def added(scanned: Scanned) -> list[tuple[int, int, int, int]]:
-        begin, end = scanned.others(params.shortest)
-        if not known or not len(begin):
-            return []
-        symbols, sizes = CLASSES[scanned.data], end - begin
-        best = np.min([a.costs(symbols, begin, sizes) for a in known], axis=0)
-        keep = automata["other"].costs(symbols, begin, sizes) - best > params.margin * sizes
-        row = np.searchsorted(scanned.offsets, begin[keep], side="right") - 1
-        return [(r, b, 3, e) for r, b, e in zip(row.tolist(), begin[keep].tolist(), end[keep].tolist(), strict=True)]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 scanned = Scanned(part.column("text"))
-                rows = sorted([tuple(x) for x in scanned.spans[:, :4].tolist()] + added(scanned))
+                rows = sorted([tuple(x) for x in scanned.spans[:, :4].tolist()] + _added(scanned, automata, params))
                 # code points are the bytes that do not continue one
                 points = np.concatenate(([0], np.cumsum(scanned.data & 0xC0 != 0x80)))
                 lists: list[list[dict]] = [[] for _ in range(part.num_rows)]
