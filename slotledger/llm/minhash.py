@@ -8,8 +8,9 @@
    collisions, of at least the threshold less ``slack`` standard errors. They are links only if
    their full sets say so.
 4. Buckets that still hold more than one component are compared in tiles of bounded size, all
-   members against those outside the bucket's largest component, again by bits, then by full sets.
-   Each pair is treated in the first band that it shares, and a tile returns a spanning forest.
+   members against those outside the bucket's largest component: by bits first, then, for the
+   members of pairs that this leaves, by full sets. A pair is treated in the first band that it
+   shares only, and a tile returns a spanning forest.
 
 A pair at the threshold shares no band with probability (1 - t ** rows) ** bands, 3e-6 here.
 """
@@ -132,18 +133,44 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[at] == y).sum()) if len(x) else 0
 
 
-def _tiles(params: MinHashParams):
-    """Links between components inside each tile, as a spanning forest of its components."""
-    ones = _U(sum(1 << k for k in range(0, 64, params.bits)))
-
-    def forest(table: pa.Table) -> tuple[list[int], list[int]]:
-        ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
-        straggler = table["straggler"].to_numpy(zero_copy_only=False)
-        bits, keys = longs(table["bits"], params.words), longs(table["keys"], params.bands)
-        flat, at = blobs(table["shingles"], _U)
-        sizes = np.diff(at)
-        here = int(np.flatnonzero((keys == _U(table["key"][0].as_py() & (1 << 64) - 1)).all(axis=0))[0])
-        parent = {int(x): int(x) for x in labels}
+class Tile:
+    """The classes of one tile of a bucket, and the pairs in it that their bits leave possible."""
+
+    def __init__(self, table: pa.Table, params: MinHashParams):
+        self.params = params
+        self.ones = _U(sum(1 << k for k in range(0, 64, params.bits)))
+        self.ids, self.labels = table["id"].to_numpy(), table["label"].to_numpy()
+        self.sizes = table["n"].to_numpy()
+        self.stragglers = np.flatnonzero(table["straggler"].to_numpy(zero_copy_only=False))
+        self.bits, self.keys = longs(table["bits"], params.words), longs(table["keys"], params.bands)
+        own = _U(table["key"][0].as_py() & (1 << 64) - 1)
+        self.band = int(np.flatnonzero((self.keys == own).all(axis=0))[0])
+
+    def partners(self, i: int) -> np.ndarray:
+        """Rows of other components that may link with row i and share no earlier band with it."""
+        sizes, percent = self.sizes, self.params.percent
+        apart = self.labels != self.labels[i]
+        apart &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+        rest = np.flatnonzero(apart)
+        rest = rest[~(self.keys[rest, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+        x = self.bits[rest] ^ self.bits[i]
+        y = x.copy()
+        for k in range(1, self.params.bits):
+            y |= x >> _U(k)
+        return rest[np.bitwise_count(y & self.ones).sum(axis=1, dtype=np.int64) <= self.params.most_unequal]
+
+    def open_rows(self) -> np.ndarray:
+        """The rows that are in any possible pair."""
+        found = np.zeros(len(self.ids), bool)
+        for i in self.stragglers:
+            rest = self.partners(i)
+            found[rest] = True
+            found[i] |= len(rest) > 0
+        return found
+
+    def forest(self, flat: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int]]:
+        """Links between components by full sets, as a spanning forest of the components."""
+        parent = {int(x): int(x) for x in self.labels}
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -152,40 +179,42 @@ def _tiles(params: MinHashParams):
             return x
 
         left, right = [], []
-        for i in np.flatnonzero(straggler):
-            apart = labels != labels[i]
-            apart &= 100 * np.minimum(sizes, sizes[i]) >= params.percent * np.maximum(sizes, sizes[i])
-            rest = np.flatnonzero(apart)
-            if not len(rest):
-                continue
-            rest = rest[~(keys[rest, :here] == keys[i, :here]).any(axis=1)]
-            x = bits[rest] ^ bits[i]
-            y = x.copy()
-            for k in range(1, params.bits):
-                y |= x >> _U(k)
-            rest = rest[np.bitwise_count(y & ones).sum(axis=1, dtype=np.int64) <= params.most_unequal]
-            mine = root(int(labels[i]))
-            rest = rest[[root(int(labels[j])) != mine for j in rest]] if len(rest) else rest
+        for i in self.stragglers:
+            mine = root(int(self.labels[i]))
+            rest = np.array([j for j in self.partners(i) if root(int(self.labels[j])) != mine], np.int64)
             if not len(rest):
                 continue
-            own = flat[at[i] : at[i + 1]]
-            spots = ragged(at[rest], sizes[rest])
-            values = flat[spots]
+            own, sizes = flat[at[i] : at[i + 1]], self.sizes[rest]
+            values = flat[ragged(at[rest], sizes)]
             where = np.searchsorted(own, values)
             where[where == len(own)] = 0
-            common = np.add.reduceat((own[where] == values).astype(np.int64), np.cumsum(sizes[rest]) - sizes[rest])
-            linked = rest[100 * common >= params.percent * (sizes[rest] + sizes[i] - common)]
-            for j in linked:
-                p, q = root(int(labels[i])), root(int(labels[j]))
+            common = np.add.reduceat((own[where] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+            for j in rest[100 * common >= self.params.percent * (sizes + self.sizes[i] - common)]:
+                p, q = root(int(self.labels[i])), root(int(self.labels[j]))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    left.append(int(ids[i]))
-                    right.append(int(ids[j]))
+                    left.append(int(self.ids[i]))
+                    right.append(int(self.ids[j]))
         return left, right
 
+
+TILE = "tile long, key long, id long, label long, straggler boolean, n long, bits array<long>, keys array<long>"
+
+
+def _open_rows(params: MinHashParams):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, "tile"):
+            found = Tile(table, params).open_rows()
+            if found.any():
+                yield from table.filter(pa.array(found)).combine_chunks().to_batches()
+
+    return work
+
+
+def _forests(params: MinHashParams):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, "tile"):
-            left, right = forest(table)
+            left, right = Tile(table, params).forest(*blobs(table["shingles"], _U))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return work
@@ -262,11 +291,14 @@ def near_duplicates(documents: DataFrame, params: MinHashParams = MinHashParams(
     as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda i: F.struct(i.alias("i"), place.alias("j")))
     tiles = open_rows.withColumn("at", F.explode(F.when(F.col("straggler"), F.array_distinct(F.concat(as_left, as_right))).otherwise(as_right)))
     tiles = tiles.select(F.xxhash64("key", "at.i", "at.j").alias("tile"), "key", "id", "label", "straggler")
-    tiles = written(tiles, "minhash-tiles")
-    full = written(sets(tiles.select("id")), "minhash-sets")
+    tiles = tiles.join(signs.select("id", F.col("n_shingles").alias("n"), "bits", "keys"), "id")
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "id").select(*[c.split()[0] for c in TILE.split(", ")])
+    # most rows are in no possible pair; only the others need their sets
+    tiles = written(tiles.mapInArrow(_open_rows(params), TILE), "minhash-tiles")
+    full = sets(tiles.select("id"))
     across = (
-        tiles.join(signs.select("id", "bits", "keys"), "id").join(full, "id")
-        .repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_tiles(params), "a long, b long")
+        tiles.join(full, "id").repartition("tile").sortWithinPartitions("tile", "id")
+        .mapInArrow(_forests(params), "a long, b long")
     )
     across = written(across, "minhash-across")
 
