@@ -62,7 +62,7 @@ select @mk@(us - us % 1000000 + s*1000000) as period_start, job_id, project_id,
  total_bytes_billed, total_bytes_processed
 from (select *, @sec@ as s from jobs) x""",
     "jobs_text": """
-select project_id, job_id, query from jobs where cast(substr(job_id, 5) as bigint) % 9 <> 0""",
+select project_id, job_id, creation_time, query from jobs where cast(substr(job_id, 5) as bigint) % 9 <> 0""",
     "table_storage": """
 select 'project-' || cast(l_suppkey % 6 as string) as project_id,
  'ds_' || cast(l_partkey % 50 as string) as table_schema,

@@ -47,11 +47,11 @@ def second_filter(keep, where: str):
 FILTERS = {
     "filter_lookback_strict": second_filter(
         lambda df: times.since(df, "period_start", "2024-01-03 00:00:05", 1),
-        "period_start > timestamp '2024-01-02 00:00:05'",
+        "period_start > timestamp '2024-01-02 00:00:05' and period_start <= timestamp '2024-01-03 00:00:05'",
     ),
     "filter_lookback_inclusive": second_filter(
         lambda df: times.since(df, "period_start", "2024-01-03 00:00:05", 1, inclusive=True),
-        "period_start >= timestamp '2024-01-02 00:00:05'",
+        "period_start >= timestamp '2024-01-02 00:00:05' and period_start <= timestamp '2024-01-03 00:00:05'",
     ),
     "filter_billing_days": job_filter(
         lambda df: times.between_days(df, "creation_time", times.day("2024-01-02"), times.day("2024-01-02")),
@@ -142,8 +142,8 @@ def rounded(i: Inputs) -> DataFrame:
 
 
 def texts_shown(i: Inputs) -> DataFrame:
-    text = F.when(F.length("query") % 3 > 0, F.col("query"))
-    return i.jobs.select("job_id", costs.shown_text(text).alias("shown"))
+    texts = i.jobs_text.select("job_id", "query")
+    return i.jobs.select("job_id").join(texts, "job_id", "left").select("job_id", costs.shown_text(F.col("query")).alias("shown"))
 
 
 PROJECTIONS = {
@@ -199,10 +199,9 @@ PROJECTIONS = {
     "project_query_text": (
         texts_shown,
         duckdb_sql(
-            """with t as (select job_id, case when length(query) % 3 > 0 then query end as query from jobs)
-            select job_id, case when length(query) > 500 then substr(query, 1, 500) || '...'
-             else coalesce(query, 'Query text not found') end as shown from t""",
-            "jobs",
+            """select j.job_id, case when length(t.query) > 500 then substr(t.query, 1, 500) || '...'
+             else coalesce(t.query, 'Query text not found') end as shown from jobs j left join jobs_text t using (job_id)""",
+            "jobs", "jobs_text",
         ),
     ),
 }
@@ -216,7 +215,7 @@ def changes_seen(i: Inputs) -> DataFrame:
     jobs = i.jobs.select("job_id", "creation_time", name.alias("reservation_name"))
     seen = asof_backward(
         jobs, i.reservation_changes, "creation_time", "change_timestamp", ["action", "slot_capacity"],
-        times.instant(AS_OF), by=["reservation_name"],
+        by=["reservation_name"],
     )
     return seen.groupBy("reservation_name", "action").agg(
         F.count("*").alias("n"), F.sum("slot_capacity").alias("capacity")
@@ -333,7 +332,8 @@ def window_sql(keys: str, source: str) -> str:
     return duckdb_sql(f"with {PER_SECOND_SQL},{text} " + WINDOW_SELECT.format(keys=keys, source=source), "jobs_timeline")
 
 
-MINUTES_WHERE = """period_start >= timestamp '2023-12-28 00:00:00' and job_type = 'QUERY'
+MINUTES_WHERE = """period_start >= timestamp '2023-12-28 00:00:00'
+ and period_start <= timestamp '2024-01-04 00:00:00' and job_type = 'QUERY'
  and (statement_type <> 'SCRIPT' or statement_type is null)"""
 
 AGGREGATES = {

@@ -95,9 +95,9 @@ def advice_badge(advice: Column) -> Column:
     return F.when(advice != NO_ADVICE, "Candidate").otherwise(NO_ADVICE)
 
 
-def shown_text(text: Column) -> Column:
-    """Query text as shown: a default for missing text, and the start of long text."""
-    return F.when(F.length(text) > TEXT_LIMIT, F.concat(F.substring(text, 1, TEXT_LIMIT), F.lit("..."))).otherwise(
+def shown_text(text: Column, length: int = TEXT_LIMIT) -> Column:
+    """Query text for display: a default for missing text, and the start of long text."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(
         F.coalesce(text, F.lit(TEXT_MISSING))
     )
 

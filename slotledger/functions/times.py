@@ -8,6 +8,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotledger.session import require_utc
+
 
 def instant(value: datetime | str | None) -> Column:
     """A UTC timestamp literal; values without a zone are UTC, none means now."""
@@ -31,12 +33,14 @@ def since(
     inclusive: bool = False,
     partition: str | None = None,
 ) -> DataFrame:
-    """Rows after ``as_of - days``. A date partition column, where present, is filtered too,
-    so that whole directories are skipped before any file footer is read."""
-    bound = days_before(instant(as_of), days)
-    kept = df.filter(F.col(ts) >= bound if inclusive else F.col(ts) > bound)
+    """Rows after ``as_of - days`` and up to ``as_of``. A date partition column, where present, is
+    filtered too, so that whole directories are skipped before any file footer is read."""
+    require_utc(df.sparkSession)
+    end = instant(as_of)
+    bound = days_before(end, days)
+    kept = df.filter((F.col(ts) >= bound if inclusive else F.col(ts) > bound) & (F.col(ts) <= end))
     if partition and partition in df.columns:
-        kept = kept.filter(F.col(partition) >= F.to_date(bound))
+        kept = kept.filter(F.col(partition).between(F.to_date(bound), F.to_date(end)))
     return kept
 
 
@@ -52,6 +56,7 @@ def previous_month(as_of: datetime | str | None) -> tuple[Column, Column]:
 
 def between_days(df: DataFrame, ts: str, first: Column, last: Column, partition: str | None = None) -> DataFrame:
     """Rows from ``first`` to ``last``, both days included, as a half-open range."""
+    require_utc(df.sparkSession)
     kept = df.filter(
         (F.col(ts) >= first.cast("timestamp")) & (F.col(ts) < F.date_add(last, 1).cast("timestamp"))
     )

@@ -77,41 +77,40 @@ def asof_backward(
     left_ts: str,
     right_ts: str,
     values: list[str],
-    until: Column,
     by: list[str] | None = None,
     sequence: list[str] | None = None,
     unit: str = "HOUR",
 ) -> DataFrame:
     """Each left row with ``values`` of the latest right row at or before it, NULL if none.
 
-    Left rows are kept one for one and read once. Among right rows with equal time, the last by
-    ``sequence`` wins. The last right row of a block is repeated at the start of every block up to
-    the key's next one, so no row looks beyond its block. Rows after ``until`` share its block,
-    so it should be near the end of the data; results do not depend on it.
+    Left rows are kept one for one; those without a time have NULL values. Right rows without a
+    time are left out. Among right rows with equal time, the last by ``sequence`` wins. Rows are
+    ordered inside blocks of time, and the last value of a block is carried over the blocks of its
+    key that have rows on either side, so neither gaps nor the time after the last change cost rows.
     """
     by, sequence = by or [], sequence or []
-    horizon, step = F.date_trunc(unit, until), F.expr(f"interval 1 {unit}")
-    block = F.least(F.date_trunc(unit, "_ts"), horizon)
     left_rows = left.select(
         _struct(by).alias(KEY), F.col(left_ts).alias("_ts"), F.lit(2).alias("_side"), _struct(left.columns).alias("_row")
-    ).withColumn(BLOCK, block)
-    right_rows = right.select(
+    )
+    right_rows = right.where(F.col(right_ts).isNotNull()).select(
         _struct(by).alias(KEY), F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"),
         _struct(sequence).alias("_seq"), _struct(values).alias("_value"),
-    ).withColumn(BLOCK, block)
-    following = F.coalesce(F.lead(BLOCK).over(Window.partitionBy(KEY).orderBy(BLOCK)), horizon)
-    repeated = (
-        right_rows.groupBy(KEY, BLOCK).agg(F.max_by("_value", F.struct("_ts", "_seq")).alias("_value"))
-        .withColumn("_following", following)
-        .filter(F.col(BLOCK) < F.col("_following"))
-        .select(KEY, "_value", F.lit(0).alias("_side"),
-                F.explode(F.sequence(F.col(BLOCK) + step, F.col("_following"), step)).alias(BLOCK))
-        .withColumn("_ts", F.col(BLOCK))
     )
-    rows = right_rows.unionByName(repeated, allowMissingColumns=True).unionByName(left_rows, allowMissingColumns=True)
-    inside = (
-        Window.partitionBy(KEY, BLOCK).orderBy("_ts", "_side", "_seq")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows without a time have a block of their own in each key, which no right row is in
+    rows = right_rows.unionByName(left_rows, allowMissingColumns=True).withColumn(
+        BLOCK, F.coalesce(F.date_trunc(unit, "_ts"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    )
+    # the join below implies this; said here, both uses of the rows share one scan and shuffle
+    rows = rows.filter(F.col(KEY).isNotNull() & F.col(BLOCK).isNotNull())
+    ordered = Window.partitionBy(KEY, BLOCK).orderBy("_ts", "_side", "_seq")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("_seen", F.last("_value", ignorenulls=True).over(upto))
+    along = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # the left row goes along for the same reason: pruned away, it would make this another shuffle
+    last = F.max_by(F.struct("_seen", "_row"), F.struct("_ts", "_side", "_seq"))
+    carried = seen.groupBy(KEY, BLOCK).agg(last.alias("_last")).select(
+        KEY, BLOCK, F.last("_last._seen", ignorenulls=True).over(along).alias(CARRY)
     )
-    matched = rows.withColumn("_value", F.last("_value", ignorenulls=True).over(inside)).filter(F.col("_side") == 2)
-    return matched.select("_row.*", *[F.col(f"_value.{v}").alias(v) for v in values])
+    matched = seen.join(carried, [KEY, BLOCK]).filter(F.col("_side") == 2)
+    value = F.coalesce("_seen", CARRY)
+    return matched.select("_row.*", *[value.getField(v).alias(v) for v in values])

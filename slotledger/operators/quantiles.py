@@ -21,13 +21,14 @@ def discrete_median(column: str) -> Column:
 
 
 def exact(df: DataFrame, key: str, value: str, percents: dict[str, int]) -> DataFrame:
-    """Exact discrete percentiles of a non-negative whole-number column per ``key``.
+    """Exact discrete percentiles of a whole-number column per ``key``.
 
     Values without a key are left out. Values are counted first, which spreads a hot key over its
-    distinct values. A histogram with logarithmic bins then tells which bin holds each rank, and
-    only that bin is ordered.
+    distinct values. A histogram with bins by sign and logarithm then tells which bin holds each
+    rank, and only that bin is ordered.
     """
-    bin_of = F.floor(F.log1p(F.col(value).cast("double")) * BINS_PER_E_FOLD)
+    size = F.floor(F.log1p(F.abs(F.col(value).cast("double"))) * BINS_PER_E_FOLD)
+    bin_of = F.when(F.col(value) < 0, -size).otherwise(size)
     counts = (
         df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value)
         .agg(F.count("*").alias("_n"))

@@ -29,8 +29,8 @@ class JobCostParams:
     slot_step_size: int = 50
     lookback_days: int = 3
     min_bytes_billed: int = 10485760
-    limit_jobs: int | None = 1000  # None costs every job
-    limit_top_jobs: int = 500
+    limit_jobs: int | None = None  # the product's report costs the 1000 largest
+    limit_top_jobs: int | None = None  # and lists 500
     category_filter: str = ""
     as_of: Instant = None
 
@@ -88,6 +88,7 @@ class TrickleParams:
     max_median_seconds: float = 5.0
     top_projects: int = 3
     top_queries: int = 10
+    shown_length: int = 500
     timezone: str = "UTC"
     as_of: Instant = None
 

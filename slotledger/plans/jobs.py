@@ -19,9 +19,9 @@ JOB_COLUMNS = [
 
 
 def largest_jobs(jobs: DataFrame, params: JobCostParams = JobCostParams()) -> DataFrame:
-    """The jobs that are costed: finished, uncached queries, the largest by bytes billed.
+    """The jobs that are costed: finished, uncached queries; with ``limit_jobs`` the largest by bytes billed.
 
-    The cut comes before costing and before any totals. Each task keeps its own top rows.
+    That cut is an option. It comes before costing and totals, which then cover the largest jobs only.
     """
     recent = since(shape_jobs(jobs), "creation_time", params.as_of, params.lookback_days, partition="creation_date")
     eligible = (
@@ -84,13 +84,15 @@ def project_cost_summary(jobs: DataFrame, params: JobCostParams = JobCostParams(
 
 
 def top_jobs(jobs: DataFrame, params: JobCostParams = JobCostParams()) -> DataFrame:
-    """The costed jobs that would save most, with the cheaper plan; the category filter comes after the cut."""
+    """The costed jobs of a category, those that would save most first, with the cheaper plan."""
     on_demand, editions = F.col("on_demand_cost"), F.col("editions_cost")
     order = [F.desc("waste_savings"), F.desc("total_bytes_billed"), "job_id", "project_id"]
+    costed = _costed(jobs, params)
+    if params.category_filter:
+        costed = costed.filter(F.col("category").contains(params.category_filter))
+    ranked = costed.orderBy(*order) if params.limit_top_jobs is None else top_rows(costed, order, params.limit_top_jobs)
     return (
-        top_rows(_costed(jobs, params), order, params.limit_top_jobs)
-        .filter(F.col("category").contains(params.category_filter) if params.category_filter else F.lit(True))
-        .select(
+        ranked.select(
             *JOB_COLUMNS,
             F.lit("On-Demand").alias("current_plan"),
             costs.cheaper_plan(on_demand, editions).alias("better_plan"),

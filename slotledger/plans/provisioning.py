@@ -175,7 +175,7 @@ def utilization_vs_provisioned(
     )
     provided = ["baseline_slots", "current_slots"]
     joined = asof_backward(
-        buckets, steps, "period_min", "at", provided, _span(provisioning)[1], sequence=["change_timestamp"]
+        buckets, steps, "period_min", "at", provided, sequence=["change_timestamp"]
     )
     return joined.orderBy("period_min").select(
         iso_text(F.col("period_min"), utilization.timezone).alias("timestamp"),

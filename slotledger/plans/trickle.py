@@ -17,9 +17,6 @@ from slotledger.session import require_utc
 from slotledger.sources.tables import shape_jobs
 
 
-BROADCAST_ROWS = 10000
-
-
 def reserved_queries(jobs: DataFrame, params: TrickleParams = TrickleParams()) -> DataFrame:
     """Reserved queries of the look-back with their hour and run time."""
     require_utc(jobs.sparkSession)
@@ -132,7 +129,7 @@ def _most_frequent(jobs: DataFrame, params: TrickleParams) -> DataFrame:
     # jobs shrink to one row per hour, reservation and hash before they meet the flagged hours
     by_hash = queries.groupBy("hour_bucket", "reservation_id", "query_hash").agg(
         F.count("*").alias("n"),
-        F.min(F.struct("job_id", "project_id")).alias("example"),
+        F.min(F.struct("job_id", "project_id", F.to_date("creation_time").alias("day"))).alias("example"),
         F.sum("total_slot_ms").alias("slot_ms"), F.count("total_slot_ms").alias("slot_n"),
         F.sum("run_seconds").alias("seconds"), F.count("run_seconds").alias("seconds_n"),
         F.sum("total_bytes_processed").alias("bytes"), F.count("total_bytes_processed").alias("bytes_n"),
@@ -151,22 +148,23 @@ def _most_frequent(jobs: DataFrame, params: TrickleParams) -> DataFrame:
     return top_rows(frequent, [F.desc("frequency"), "query_hash"], params.top_queries).select(
         "query_hash", "frequency", "avg_slot_ms", "avg_seconds", "avg_bytes",
         F.col("example.job_id").alias("example_job_id"), F.col("example.project_id").alias("project_id"),
+        F.col("example.day").alias("creation_date"),
     )
 
 
 def trickle_top_queries(jobs: DataFrame, jobs_text: DataFrame, params: TrickleParams = TrickleParams()) -> DataFrame:
-    """The most frequent queries of the flagged hours, with text and advice.
+    """The most frequent queries of the flagged hours, with full text and advice.
 
-    The text table is joined with a broadcast of at most ``top_queries`` rows, so it is scanned
-    but not shuffled. For very long lists the join is left to the optimizer. Rows with text are
-    then added to the rows without, and one of each kept.
+    The text table, the widest of all, is read for the days of the look-back only, and of these for
+    the days of the examples where it has a day partition: the day is part of the join. How to join
+    is left to the optimizer, which knows that the list is short. Rows with text are then added to
+    the rows without, and one of each kept.
     """
     top = _most_frequent(jobs, params)
-    looked_up = F.broadcast(top) if params.top_queries <= BROADCAST_ROWS else top
-    texts = jobs_text.select(
-        F.col("project_id"), F.col("job_id").alias("example_job_id"), costs.shown_text(F.col("query")).alias("query")
-    )
-    found = texts.join(looked_up, ["project_id", "example_job_id"])
+    recent = since(jobs_text, "creation_time", params.as_of, params.lookback_days, partition="creation_date")
+    created = "creation_date" if "creation_date" in recent.columns else F.to_date("creation_time").alias("creation_date")
+    texts = recent.select("project_id", F.col("job_id").alias("example_job_id"), created, "query")
+    found = texts.join(top, ["project_id", "example_job_id", "creation_date"])
     keys = top.columns
     shown = (
         top.withColumn("query", F.lit(None).cast("string"))
@@ -188,9 +186,10 @@ def trickle_top_queries(jobs: DataFrame, jobs_text: DataFrame, params: TricklePa
     ).orderBy(F.desc("frequency"), "example_job_id")
 
 
-def with_display_columns(top_queries: DataFrame) -> DataFrame:
-    """Add the short badge and the size in MB."""
+def with_display_columns(top_queries: DataFrame, params: TrickleParams = TrickleParams()) -> DataFrame:
+    """Cut long texts for display, and add the short badge and the size in MB."""
     return top_queries.withColumns({
+        "query": costs.shown_text(F.col("query"), params.shown_length),
         "badge": costs.advice_badge(F.col("recommendation")),
         "avg_mb_processed": costs.megabytes(F.col("avg_bytes_processed")),
     })

@@ -33,7 +33,7 @@ JOBS = _table(
     ("query_info", _table(("query_hashes", _table(("normalized_literals", S))))),
 )
 
-JOBS_TEXT = _table(("project_id", S), ("job_id", S), ("query", S))
+JOBS_TEXT = _table(("project_id", S), ("job_id", S), ("creation_time", TS), ("query", S))
 
 JOBS_TIMELINE = _table(
     ("period_start", TS), ("job_id", S), ("project_id", S), ("reservation_id", S),

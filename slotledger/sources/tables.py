@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotledger import schemas
+from slotledger.session import require_utc
 
 # Time column and day-partition column of each log table
 DAY_PARTITIONS = {
     "jobs": ("creation_time", "creation_date"),
     "jobs_timeline": ("period_start", "period_date"),
+    "jobs_text": ("creation_time", "creation_date"),
 }
 
 
@@ -29,7 +31,8 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
 
 
 def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", mode: str = "error") -> None:
-    """Write a metadata table; logs are split by day and sorted by time."""
+    """Write a metadata table; logs are split by UTC day and sorted by time."""
+    require_utc(df.sparkSession)
     if name in DAY_PARTITIONS:
         ts, part = DAY_PARTITIONS[name]
         # ranges of equal size, so that a busy day is written by many tasks

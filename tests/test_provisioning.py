@@ -4,7 +4,6 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from slotledger.functions import times
 from slotledger.operators.blocks import asof_backward, lag_row, running_steps
 from slotledger.params import ProvisioningParams, UtilizationParams
 from slotledger.plans import provisioning
@@ -165,16 +164,17 @@ def test_asof_matches_brute_force(spark):
     rng = random.Random(4)
     left = [(n, rng.choice(["a", "b", "c", None]), t) for n, t in enumerate(random_times(rng, 300))]
     right = [(rng.choice(["a", "b", None]), t, n) for n, t in enumerate(random_times(rng, 60))]
-    until = times.instant("2024-01-02 06:00:00")  # before the end of the data
+    left += [(1000, "a", None), (1001, "a", at("2030-01-01 00:00:00")), (1002, "a", at("2000-01-01 00:00:00"))]
+    right += [("a", None, 7), ("c", None, 8)]
     found = asof_backward(
         spark.createDataFrame(left, "id int, k string, t timestamp"),
         spark.createDataFrame(right, "k string, at timestamp, v int"),
-        "t", "at", ["v"], until, by=["k"], sequence=["v"],
+        "t", "at", ["v"], by=["k"], sequence=["v"],
     )
     got = {r["id"]: r["v"] for r in found.collect()}
     assert len(got) == len(left)
     for key, k, t in left:
-        seen = [(when, v) for kk, when, v in right if kk == k and when <= t]
+        seen = [(when, v) for kk, when, v in right if kk == k and when and t and when <= t]
         assert got[key] == (max(seen)[1] if seen else None)
 
 

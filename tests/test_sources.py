@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from slotledger.functions import times
 from slotledger.params import JobCostParams, SlotParams, StorageParams
 from slotledger.plans import jobs as job_plans
-from slotledger.plans import slots, storage
+from slotledger.plans import matrix, slots, spenders, storage, trickle
 from slotledger.sources import tables
 from tests import rows
 from tests.rows import AS_OF, at, dicts, one
@@ -84,3 +85,25 @@ def test_results_are_written_as_records(spark, tmp_path, fmt):
     status = storage.org_storage_status(rows.table(spark, "organization_options"), StorageParams())
     tables.write_result(status, str(tmp_path / "out"), fmt)
     assert one(spark.read.format(fmt).load(str(tmp_path / "out")))["current_model"] == "LOGICAL"
+
+
+def test_every_plan_refuses_a_session_that_is_not_utc(spark, inputs, tmp_path):
+    """Days are pruned in the session's zone, so that another one would lose rows."""
+    plans = {
+        "jobs": lambda: job_plans.job_costs(inputs.jobs), "spenders": lambda: spenders.top_spenders(inputs.jobs),
+        "sizing": lambda: slots.slot_recommendations(inputs.jobs_timeline), "peak": lambda: slots.peak_slots(inputs.jobs_timeline),
+        "utilization": lambda: slots.slot_utilization(inputs.jobs_timeline),
+        "matrix": lambda: matrix.baseline_cost_matrix(inputs.jobs_timeline), "trickle": lambda: trickle.trickle_hours(inputs.jobs),
+        "attribution": lambda: times.between_days(inputs.jobs, "creation_time", times.day("2024-01-01"), times.day("2024-01-02")),
+        "write": lambda: tables.write_table(inputs.jobs, str(tmp_path / "t"), "jobs"),
+    }
+    frames = inputs.jobs, inputs.jobs_timeline
+    assert all(frames)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        for name, build in plans.items():
+            with pytest.raises(ValueError, match="UTC"):
+                build()
+                pytest.fail(name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

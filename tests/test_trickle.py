@@ -16,7 +16,7 @@ def quick(n, seconds=1, **kw):
 
 
 def texts(spark, *rows):
-    return table(spark, "jobs_text", *rows, project_id="p")
+    return table(spark, "jobs_text", *rows, project_id="p", creation_time=NOON)
 
 
 def test_hours_above_the_minimum_only(spark):
@@ -95,7 +95,9 @@ def test_top_queries(spark):
         relaxed,
     ))
     assert [(r["example_job_id"], r["frequency"]) for r in found] == [("a0", 4), ("b0", 3)]
-    assert [r["query"] for r in found] == ["x" * 500 + "...", "Query text not found"]
+    assert [r["query"] for r in found] == ["x" * 600, "Query text not found"]
+    shown = dicts(trickle.with_display_columns(spark.createDataFrame([("x" * 600, "N/A", 1.0)], "query string, recommendation string, avg_bytes_processed double")))
+    assert shown[0]["query"] == "x" * 500 + "..."
     assert [r["avg_duration_seconds"] for r in found] == [1.0, 6.0]
     assert [r["avg_bytes_processed"] for r in found] == [1e9, 0.0]
     assert {r["recommendation"] for r in found} == {"N/A"}
