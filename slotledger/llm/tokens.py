@@ -1,29 +1,68 @@
 """Token ids of whole texts by the tokenizers library, word by word.
 
 No pre-token spans white space in the models this is for, so a text's ids are those of its words.
-Words repeat: a worker keeps the ids of the words it has seen, in a bounded cache, and has the
-library encode only new ones, in one string with a special token between them. A model whose
-normaliser or pre-tokeniser looks across white space is refused; see :func:`check_by_word`.
+Words repeat: a worker keeps the ids of the words it has seen, in a bounded cache. A new word of
+plain Latin characters is cut into its pre-tokens in lower case, which repeat much more, and these
+have a larger cache; the library encodes what neither cache knows, many in one string with a
+special token between them. A model for which a text's ids are not those of its words is refused,
+and one for which a word's are not those of these pre-tokens has its words encoded whole.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 from slotledger.llm.arrays import ragged
 
-MOST_WORDS = 300_000
-CHUNK_WORDS = 20_000
+MOST_WORDS = 400_000
+MOST_UNITS = 600_000
+CHUNK = 20_000
 # str.split() also cuts at these four, which Unicode does not count as white space
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _WORD = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_LINES = re.compile("[!-~À-ÖØ-öø-ÿ\n]*")
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_UNIT_PROBES = ["It's", "WE'RE", "x1y22", "a.b,c!!", "Éa-ß_Ñ", "''s'", "$$$%&", "ÄÖÜ'll", "token=\"04db\"", "o'd've"]
 _PROBES = ["a b", "it 's", "e ́", "a \n\t b  c", " x ", "1 2", "! ?", "Σ Σ"]
 
 
+class Ragged:
+    """Lists of ids by string, in one flat array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def get(self, lists: list[list[str]], learn) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all lists of names one after the other, and how many each list has.
+
+        ``learn`` is called with the names that are not known, each once, and must add them.
+        """
+        counts = np.array([len(x) for x in lists], np.int64)
+        names = list(chain.from_iterable(lists))
+        index = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
+            wanted = [names[k] for k in missing]
+            learn(list(set(wanted)))
+            index[missing] = np.fromiter(map(self.known.__getitem__, wanted), np.int64, len(wanted))
+        sizes = self.sizes[index]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        return self.ids[ragged(self.starts[index], sizes)], np.diff(ends)
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -32,64 +71,61 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = max(special) if special else (-1, "")
+        self.special = [content for _, content in special]
         check_by_word(self)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.by_unit = all(self.whole(w) == [k for u in _units(w) for k in self.whole(u)] for w in _UNIT_PROBES)
+        self.words, self.units = Ragged(), Ragged()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.mark and self.mark not in w]
-        found, sizes = [self.ids], []
-        for begin in range(0, len(plain), CHUNK_WORDS):
-            part = plain[begin : begin + CHUNK_WORDS]
+    def _learn_units(self, units: list[str]) -> None:
+        plain = [u for u in units if self.mark and self.mark not in u]
+        for begin in range(0, len(plain), CHUNK):
+            part = plain[begin : begin + CHUNK]
             joined = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0]
             ids = np.array(joined.ids, np.uint32)
             marks = ids == self.mark_id
             cuts = np.concatenate(([-1], np.flatnonzero(marks), [len(ids)]))
             if len(cuts) != len(part) + 1:
                 raise ValueError("the special token does not part words in this model")
-            found.append(ids[~marks])
-            sizes.append(np.diff(cuts) - 1)
-        rest = [w for w in words if not self.mark or self.mark in w]
-        for word in rest:
-            ids = np.array(self.whole(word), np.uint32)
-            found.append(ids)
-            sizes.append(np.array([len(ids)]))
-        counts = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        base = len(self.ids)
-        self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, base + np.cumsum(counts) - counts))
-        self.sizes = np.concatenate((self.sizes, counts))
-        self.ids = np.concatenate(found)
+            self.units.add(part, ids[~marks], np.diff(cuts) - 1)
+        for unit in (u for u in units if not self.mark or self.mark in u):
+            ids = np.array(self.whole(unit), np.uint32)
+            self.units.add([unit], ids, np.array([len(ids)]))
+
+    def _cuttable(self, word: str) -> bool:
+        return self.by_unit and _PLAIN.fullmatch(word) is not None and not any(x in word for x in self.special)
+
+    def _learn(self, words: list[str]) -> None:
+        lines = "\n".join(words)
+        if self.by_unit and _PLAIN_LINES.fullmatch(lines) and not any(x in lines for x in self.special):
+            units = list(map(_UNIT.findall, lines.lower().split("\n")))
+        else:
+            units = [_units(w) if self._cuttable(w) else [w] for w in words]
+        if len(self.units.known) > MOST_UNITS:
+            self.units = Ragged()
+        self.words.add(words, *self.units.get(units, self._learn_units))
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with ``end_id`` after it, and n + 1 offsets."""
         words = [
             (_WORD.findall(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts
         ]
-        if len(self.known) > MOST_WORDS:
-            self._forget()
-        fresh = set(chain.from_iterable(words)) - self.known.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        counts = np.array([len(w) for w in words], np.int64)
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        sizes = self.sizes[index]
-        offsets = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
-        ids = self.ids[ragged(self.starts[index], sizes)]
+        if len(self.words.known) > MOST_WORDS:
+            self.words = Ragged()
+        ids, sizes = self.words.get(words, self._learn)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
         if end_id is not None:
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
         return ids, offsets
 
 
+def _units(word: str) -> list[str]:
+    return _UNIT.findall(word.lower())
+
+
 def check_by_word(encoder: WordEncoder) -> None:
     """Refuse a model in which the ids of a text are not those of its words."""
     for text in _PROBES:
