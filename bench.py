@@ -1,7 +1,7 @@
 """Time the analyses over stored metadata tables; prints one JSON line.
 
 The metadata tables are derived from ``$BENCH_SF_DIR`` and written to parquet once, as a collector
-would leave them. Each query then runs from the files: once to warm up and ``$BENCH_RUNS`` times
+would leave them, to ``$BENCH_STORE`` or else to a temporary folder. Each query then runs from the files: once to warm up and ``$BENCH_RUNS`` times
 for the median. The value is the sum of the medians.
 """
 
@@ -22,7 +22,7 @@ from slotledger.session import build_session  # noqa: E402
 
 QUERIES = [
     "storage_forecast", "physical_datasets", "org_storage_status", "storage_recommendations", "storage_kpis",
-    "job_costs", "project_cost_summary", "top_jobs",
+    "job_costs", "job_costs_of_a_past_day", "project_cost_summary", "top_jobs",
     "slot_recommendations", "merged_slot_recommendation", "all_slot_recommendations", "current_reservations",
     "slot_utilization", "slot_utilization_by_hour", "slot_utilization_by_day",
     "baseline_cost_matrix", "best_baseline_per_plan",
@@ -49,7 +49,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
-    with tempfile.TemporaryDirectory(prefix="bench-") as root:
+    # on a cluster, BENCH_STORE names a folder that all executors share
+    with tempfile.TemporaryDirectory(prefix="bench-") as local:
+        root = os.environ.get("BENCH_STORE", local)
         begun = time.perf_counter()
         store(Inputs(spark, sf_dir), root)
         setup = time.perf_counter() - begun

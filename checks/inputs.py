@@ -100,18 +100,16 @@ select @mk@(us) as change_timestamp, 'admin-a' as project_id, 'res-' || cast(rid
  ((j*17) % 7)*100 as slot_capacity,
  case when rid = 2 then 'STANDARD' else 'ENTERPRISE' end as edition
 from (select *, case when k % 9 = 0 then k-1 else k end as j
-      from (select us, (event_id @div@ 50) % 3 as rid,
-             row_number() over (partition by (event_id @div@ 50) % 3 order by us) as k
-            from jobs_base where event_id % 50 = 0) y) z""",
+      from (select us, event_id % 3 as rid, row_number() over (partition by event_id % 3 order by us, event_id) as k
+            from jobs_base) y) z""",
     "capacity_commitment_changes": """
 select @mk@(us) as change_timestamp, 'cc_' || cast(rid as string) as capacity_commitment_id,
  case when k % 7 = 1 then 'CREATE' when k % 7 = 0 then 'DELETE' else 'UPDATE' end as action,
  ((j*13) % 4)*100 as slot_count,
  case when k % 7 = 1 then 'PENDING' else 'ACTIVE' end as state, 'ENTERPRISE' as edition
 from (select *, case when k % 7 = 0 then k-1 else k end as j
-      from (select us, (event_id @div@ 97) % 2 as rid,
-             row_number() over (partition by (event_id @div@ 97) % 2 order by us) as k
-            from jobs_base where event_id % 97 = 0) y) z""",
+      from (select us, event_id % 2 as rid, row_number() over (partition by event_id % 2 order by us, event_id) as k
+            from jobs_base) y) z""",
     "attribution_config": """
 select 'res-a' as reservation_key, 0.054e0 as sku_rate, 4800.02e0 as total_admin_bill
 union all select 'admin-b:US.res-b', 0.06e0, 1e0
