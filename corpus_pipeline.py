@@ -49,9 +49,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all documents in training sequences.
+
+    Workers outlive a stage and keep their caches, so this one's is small beside other stages' needs.
+    """
     ship(spark)
-    return packing.pack(docs, tokenizer_path(WORD_MODEL))
+    return packing.pack(docs, tokenizer_path(WORD_MODEL), packing.PackParams(cached_words=60_000))
 
 
 STAGES = [("quality", clean), ("near_duplicates", distinct), ("secrets", without_secrets), ("packing", sequences)]

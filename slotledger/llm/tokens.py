@@ -19,7 +19,7 @@ import numpy as np
 from slotledger.llm.arrays import ragged
 
 MOST_WORDS = 400_000
-MOST_UNITS = 600_000
+UNITS_PER_WORD = 1.5
 CHUNK = 20_000
 # str.split() also cuts at these four, which Unicode does not count as white space
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -64,9 +64,10 @@ class Ragged:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_units = most_words, int(UNITS_PER_WORD * most_words)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
@@ -103,7 +104,7 @@ class WordEncoder:
             units = list(map(_UNIT.findall, lines.lower().split("\n")))
         else:
             units = [_units(w) if self._cuttable(w) else [w] for w in words]
-        if len(self.units.known) > MOST_UNITS:
+        if len(self.units.known) > self.most_units:
             self.units = Ragged()
         self.words.add(words, *self.units.get(units, self._learn_units))
 
@@ -112,7 +113,7 @@ class WordEncoder:
         words = [
             (_WORD.findall(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts
         ]
-        if len(self.words.known) > MOST_WORDS:
+        if len(self.words.known) > self.most_words:
             self.words = Ragged()
         ids, sizes = self.words.get(words, self._learn)
         offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -133,14 +134,14 @@ def check_by_word(encoder: WordEncoder) -> None:
             raise ValueError("this model's tokens depend on white space; encode its texts whole")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def load(path: str) -> WordEncoder:
-    """The model at ``path``, read once by each worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def load(path: str, most_words: int = MOST_WORDS) -> WordEncoder:
+    """The model at ``path``, read once by each worker, with a cache of about ``most_words`` words."""
+    if (path, most_words) not in _ENCODERS:
+        _ENCODERS[path, most_words] = WordEncoder(path, most_words)
+    return _ENCODERS[path, most_words]
 
 
 def crc32(ids: np.ndarray) -> int:
