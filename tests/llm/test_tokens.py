@@ -125,3 +125,25 @@ def test_neighbours_share_a_window():
     for doc, _, _, sequence, _ in found:
         topics.setdefault(sequence, set()).add(doc % 2)
     assert sum(len(t) == 1 for t in topics.values()) >= len(topics) - 1
+
+
+def test_weights_follow_all_documents_not_those_of_a_shard(spark, tokenizer):
+    """Postings of every shard against BM25 by hand over the whole table."""
+    ship(spark)
+    texts = [(k, words(k, 10 + k % 30)) for k in range(60)] + [(100, None), (None, words(7, 5))]
+    terms = tokenizer.get_vocab_size()
+    rows = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in texts]
+    ids = spark.createDataFrame([(np.array(r, "<u2").tobytes(),) for r in rows], "ids binary").repartition(5)
+    corpus = packing.statistics(ids, "<u2", terms)
+    df = {t: sum(t in r for r in rows) for r in rows for t in r}
+    assert (corpus.count, corpus.tokens) == (len(rows), sum(map(len, rows)))
+    assert {int(t): int(corpus.df[t]) for t in np.flatnonzero(corpus.df)} == df
+    params, part = packing.PackParams(), rows[:4]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in part])))
+    index = packing.Bm25(np.array(sum(part, []), "<u2"), offsets, params, corpus)
+    mean = sum(map(len, rows)) / len(rows)
+    for t, a, b in zip(index.terms, index.heads, index.ends, strict=True):
+        idf = np.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5))
+        for d, w in zip(index.docs[a:b], index.weights[a:b], strict=True):
+            tf, norm = part[d].count(t), params.k1 * (1 - params.b + params.b * len(part[d]) / mean)
+            assert np.isclose(w, idf * tf * (params.k1 + 1) / (tf + norm))
