@@ -147,3 +147,16 @@ def test_weights_follow_all_documents_not_those_of_a_shard(spark, tokenizer):
         for d, w in zip(index.docs[a:b], index.weights[a:b], strict=True):
             tf, norm = part[d].count(t), params.k1 * (1 - params.b + params.b * len(part[d]) / mean)
             assert np.isclose(w, idf * tf * (params.k1 + 1) / (tf + norm))
+
+
+def test_all_terms_of_a_seed_count():
+    """A long seed: what shares its 49th or a later term is found, and scores are sums over all terms."""
+    docs = [list(range(200)), *[[k] for k in range(200)], [500]]
+    offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    ids = np.array(sum(docs, []))
+    corpus = packing.Corpus.of(ids, offsets, 501)
+    index = packing.Bm25(ids, offsets, packing.PackParams(), corpus)
+    assert sorted(index.neighbours(0, np.arange(len(docs)) > 0)) == list(range(1, 201))
+    expected = np.zeros(len(docs))
+    np.add.at(expected, index.docs, np.where(np.repeat(index.terms, index.ends - index.heads) < 200, index.weights, 0))
+    assert np.allclose(index.scores(0), expected)
