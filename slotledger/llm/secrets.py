@@ -2,9 +2,9 @@
 
 The patterns (``assign``, ``access``, ``hex``) give the base spans. Their values are the labelled
 credentials: for each kind an automaton is learned from a bounded sample of distinct values, and
-one more from other long tokens. Then every token of at least ``shortest`` credential characters,
-with a digit, that no base span touches, is scored by every automaton; it is a further span, of the
-kind ``format``, if its log likelihood under the best credential automaton is above that under the
+one more from other tokens. Then every token of at least ``shortest`` credential characters, the
+least length of a labelled value, and what base spans leave of a longer token, is scored by every
+automaton; it is a further span, of the kind ``format``, if its log likelihood under the best credential automaton is above that under the
 other one by ``margin`` for each character.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from slotledger.llm.arrays import slices, text_buffer
 from slotledger.llm.automata import CLASSES, Automaton, learn
+from slotledger.llm.shared import written
 
 # fixed patterns and lengths of the base spans
 ASSIGN = re.compile(
@@ -34,8 +35,6 @@ _HEX = np.zeros(256, bool)
 _HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 _CREDENTIAL = np.zeros(256, bool)
 _CREDENTIAL[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8)] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 
 
 @dataclass(frozen=True)
@@ -43,7 +42,7 @@ class SecretParams:
     """``sample``: distinct values of a kind that are learned from. ``margin``: in nats for each character."""
 
     sample: int = 1_500
-    shortest: int = 16
+    shortest: int = LEAST_ASSIGN
     margin: float = 0.25
 
 
@@ -91,20 +90,21 @@ class Scanned:
         self.spans = np.array(rows, np.int64).reshape(-1, 6)
 
     def others(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of credential characters with a digit, at least ``least`` long, that touch no base span."""
-        begin, end = runs(self.data, self.offsets, _CREDENTIAL, least)
-        digits = np.concatenate(([0], np.cumsum(_DIGIT[self.data])))
-        keep = digits[end] > digits[begin]
-        covered = np.zeros(len(self.data) + 1, np.int64)
-        np.add.at(covered, self.spans[:, 1], 1)
-        np.add.at(covered, self.spans[:, 3], -1)
-        covered = np.concatenate(([0], np.cumsum(np.cumsum(covered) > 0)))
-        keep &= covered[end] == covered[begin]
-        return begin[keep], end[keep]
+        """Tokens of credential characters outside of base spans, at least ``least`` long."""
+        data = self.data
+        if len(self.spans):
+            covered = np.zeros(len(data) + 1, np.int64)
+            np.add.at(covered, self.spans[:, 1], 1)
+            np.add.at(covered, self.spans[:, 3], -1)
+            data = np.where(np.cumsum(covered[:-1]) > 0, np.uint8(0x20), data)
+        return runs(data, self.offsets, _CREDENTIAL, least)
 
 
 def credentials(documents: DataFrame, params: SecretParams = SecretParams()) -> dict[str, list[str]]:
-    """Distinct values of each kind and of ``other`` tokens, at most ``sample`` of each, by smallest hash."""
+    """Distinct values of each kind and of ``other`` tokens, at most ``sample`` of each, by smallest hash.
+
+    Of ``other`` tokens as many with a digit, and as many without.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,20 +112,21 @@ def credentials(documents: DataFrame, params: SecretParams = SecretParams()) ->
                 scanned = Scanned(part.column("text"))
                 spans = scanned.spans
                 begin, end = scanned.others(params.shortest)
-                kinds = np.concatenate((spans[:, 2], np.full(len(begin), 3)))
-                values = {
-                    (int(k), scanned.data[b:e].tobytes().decode("latin-1"))
-                    for k, b, e in zip(kinds, np.concatenate((spans[:, 4], begin)), np.concatenate((spans[:, 5], end)), strict=True)
-                }
+                whole = scanned.data.tobytes()
+                values = {(k, whole[b:e]) for k, b, e in spans[:, [2, 4, 5]].tolist()}
+                # words would leave hardly any other format in one sample: those without a digit have their own
+                found = {whole[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)}
+                values |= {(4 if v.translate(None, b"0123456789") == v else 3, v) for v in found}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in values], pa.int32()), pa.array([v for _, v in values], pa.string())], ["kind", "value"]
+                    [pa.array([k for k, _ in values], pa.int32()), pa.array([v.decode() for _, v in values], pa.string())], ["kind", "value"]
                 )
 
-    found = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "kind int, value string").distinct()
-    out = {}
-    for k, kind in enumerate([*KINDS[:3], "other"]):
+    texts = documents.select(F.col("text").cast("string").alias("text"))
+    found = written(texts.mapInArrow(work, "kind int, value string").distinct(), "secret-values")
+    out: dict[str, list[str]] = {}
+    for k, kind in enumerate([*KINDS[:3], "other", "other"]):
         rows = found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(params.sample).collect()
-        out[kind] = [r.value for r in rows]
+        out.setdefault(kind, []).extend(r.value for r in rows)
     return out
 
 

@@ -88,3 +88,20 @@ def test_empty_table(spark):
     ship(spark)
     empty = documents(spark, [])
     assert secrets.scan(empty, secrets.train(empty)).collect() == []
+
+
+def test_short_digitless_and_partly_covered_tokens_are_scored(spark):
+    ship(spark)
+    rng = random.Random(4)
+    short = lambda: "Q" + "".join(rng.choice("GHJKMNPQRSTVWXYZ23456789") for _ in range(9))
+    plain = lambda: "Q" + "".join(rng.choice("GHJKMNPQRSTVWXYZ") for _ in range(19))
+    labelled = [(k, f'{words(k, 30)} token = "{short()}" secret = "{plain()}"') for k in range(200)]
+    planted = [(900, f"{words(1, 9)} {short()} {words(2, 9)}"), (901, f"{words(3, 9)} {plain()} x"), (902, f"{'a1' * 12}{short()} x")]
+    table = documents(spark, labelled + planted)
+    automata = secrets.train(table)
+    found = {r.doc_id: [(s.kind, dict(planted)[r.doc_id][s.start : s.end]) for s in r.spans] for r in secrets.scan(table, automata).where("doc_id >= 900").collect()}
+    expected = {i: [("format", re.search("Q[A-Z0-9]+", t)[0])] for i, t in planted}
+    expected[902].insert(0, ("hex", "a1" * 12))
+    assert found == expected
+    clean = {r.doc_id: r.text for r in secrets.redact(table, automata, "[S]").where("doc_id >= 900").collect()}
+    assert clean[902] == "[S][S] x"
