@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import embeddings, packing, pieces, pitman_yor, preferences, quality, secrets, token_files, topk, vectors
+from slotledger.llm import embeddings, packing, pieces, pitman_yor, preferences, quality, secrets, token_files, topk, turn_trie, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
-from slotledger.llm.shared import new_path, ship
+from slotledger.llm.shared import new_path, ship, written
 
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -112,6 +112,13 @@ def op10_quantised_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c with the first crc32(c) % 4 turns of conversation c - c % 20 in place of its own."""
+    turns = written(turn_trie.sequences(_table(spark, sf_dir, "conversations")), "turn-sequences")
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return turn_trie.prefix_trie(turn_trie.with_heads(turns, heads, 3, F.expr("conv_id - conv_id % 20")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_segment_top_k": op1_segment_top_k,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_additive_quality": op8_additive_quality,
     "op9_packing": op9_packing,
     "op10_quantised_cosine": op10_quantised_cosine,
+    "op11_turn_trie": op11_turn_trie,
 }
 
 #: What the operators on texts and vectors compute is not SQL: MinHash, merges, files, models, packing.
@@ -172,4 +180,46 @@ select pair_id, max(n) as prompt_turns,
     cast(shift + length(head) as bigint) || ':' || cast(shift + length(whole) as bigint), ',' order by i)
     filter (where side = 1 and i > n and role = 'assistant'), '') end as rejected_mask
 from placed group by pair_id""",
+    "op11_turn_trie": r"""
+with own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+  from conversations where conv_id is not null
+), ids as (
+  select distinct conv_id, cast(conv_id as varchar) as t from own
+), h as (
+  select conv_id, xor(4294967295, list_reduce(
+    list_prepend(cast(4294967295 as bigint), flatten(list_transform(range(1, length(t) + 1),
+      lambda k: [cast(ascii(substr(t, k, 1)) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: case when b >= 0 then xor(c, b) when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end)) % 4 as h
+  from ids
+), built as (
+  select h.conv_id, o.role, o.text, o.i from h join own o on o.conv_id = h.conv_id - h.conv_id % 20 and o.i <= h.h
+  union all
+  select h.conv_id, o.role, o.text, o.i + 1000000 from h join own o on o.conv_id = h.conv_id and o.i > h.h
+), placed as (
+  select conv_id, row_number() over (partition by conv_id order by i) as d,
+    md5(length(role) || ':' || role || text) as f,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+  from built
+), path as (
+  select conv_id, d, words, string_agg(f, '') over (partition by conv_id order by d) as p from placed
+  union all select conv_id, 0, 0, '' from ids
+), size as (
+  select conv_id, max(d) as n from path group by conv_id
+), node as (
+  select p, any_value(d) as d, any_value(words) as words, min(conv_id) as least, count(*) as n,
+    string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where d = n_own) as ends
+  from (select path.*, size.n as n_own from path join size using (conv_id)) group by p
+), child as (
+  select substr(p, 1, length(p) - 32) as p, count(*) as children from node where p <> '' group by 1
+), flat as (
+  select node.*, coalesce(children, 0) as children, coalesce(ends, '') as e from node left join child using (p)
+), below as (
+  select u.p, sum(case when v.children = 0 then 1 else 0 end) as leaves, sum((v.n - 1) * v.words) as saved
+  from flat v join path u on u.conv_id = v.least and u.d <= v.d group by u.p
+)
+select f.least as conv_id, f.d as depth, up.least as parent_conv_id, f.n as n_convs, f.children as n_children,
+  cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(f.e) as ends_sha256
+from flat f join below using (p) left join node up on f.p <> '' and up.p = substr(f.p, 1, length(f.p) - 32)""",
 }
