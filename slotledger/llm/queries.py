@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import embeddings, packing, pieces, pitman_yor, preferences, quality, secrets, token_files, topk, turn_trie, vectors
+from slotledger.llm import embeddings, lexical, mixing, packing, pieces, pitman_yor, preferences, quality, secrets, token_files, topk, turn_trie, vectors
 from slotledger.llm.minhash import MinHashParams, near_duplicates
 from slotledger.llm.shared import new_path, ship, written
 
@@ -119,6 +119,15 @@ def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.prefix_trie(turn_trie.with_heads(turns, heads, 3, F.expr("conv_id - conv_id % 20")))
 
 
+def op12_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", taken)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_segment_top_k": op1_segment_top_k,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -131,6 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quantised_cosine": op10_quantised_cosine,
     "op11_turn_trie": op11_turn_trie,
+    "op12_automaton_search": op12_automaton_search,
+    "op13_systematic_mix": op13_systematic_mix,
 }
 
 #: What the operators on texts and vectors compute is not SQL: MinHash, merges, files, models, packing.
@@ -222,4 +233,57 @@ with own as (
 select f.least as conv_id, f.d as depth, up.least as parent_conv_id, f.n as n_convs, f.children as n_children,
   cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(f.e) as ends_sha256
 from flat f join below using (p) left join node up on f.p <> '' and up.p = substr(f.p, 1, length(f.p) - 32)""",
+    "op12_automaton_search": r"""
+with d as (
+  select row_number() over () as row, doc_id, [translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    for t in regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')] as terms
+  from documents
+), whole as (
+  select count(*) filter (where len(terms) > 0) as n, cast(sum(len(terms)) as bigint) as l from d
+), tf as (
+  select row, any_value(doc_id) as doc_id, any_value(size) as size, term, count(*) as tf
+  from (select row, doc_id, len(terms) as size, unnest(terms) as term from d) group by row, term
+), q as (
+  select item_id, term, count(*) as repeats from (
+    select item_id, unnest([translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      for t in regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')]) as term
+    from benchmark where item_id is not null
+  ) group by item_id, term
+), w as (
+  select term, cast(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) as bigint) as weight
+  from (select term, count(*) as df from tf group by term), whole
+), s as (
+  select item_id, row, any_value(doc_id) as doc_id,
+    cast(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l)))) as bigint) as score
+  from q join tf using (term) join w using (term), whole group by item_id, row
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as int) as rank, doc_id, score
+from s where score > 0 qualify rank <= 10""",
+    "op13_systematic_mix": r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as key
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as z, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
+  from d group by source
+), stops as (
+  select a.source, any_value(a.z) as z, any_value(a.w) as w,
+    sum(least(3 * b.z * a.w, 3 * a.z * b.w)) <= sum(b.z) * any_value(a.w) as stops
+  from s a join s b on true group by a.source
+), rest as (
+  select sum(z) - coalesce(sum(3 * z) filter (where stops), 0) as words, greatest(coalesce(sum(w) filter (where not stops), 0), 1) as weights
+  from stops
+), t as (
+  select source, z, case when stops then cast(3 * z as double) else cast(w as double) * cast(words as double) / cast(weights as double) end as target,
+    cast('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 3) as int) / 4096e0 as u
+  from stops, rest
+), r as (
+  select d.*, z, target, u, case when z > 0 then target / z else 0 end as rate,
+    row_number() over (partition by d.source order by size desc, key, doc_id) as i
+  from d join t on d.source is not distinct from t.source
+)
+select doc_id, source, size, z as source_size, target,
+  cast(floor(i * rate + u) - floor((i - 1) * rate + u) as bigint) * size as taken
+from r""",
 }
