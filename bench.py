@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.catalog import CHECKS  # noqa: E402
-from checks.inputs import Inputs, StoredInputs, store  # noqa: E402
+from checks.inputs import Inputs, store  # noqa: E402
 from slotledger.session import build_session  # noqa: E402
 
 QUERIES = [
@@ -53,9 +53,8 @@ def main() -> None:
     with tempfile.TemporaryDirectory(prefix="bench-") as local:
         root = os.environ.get("BENCH_STORE", local)
         begun = time.perf_counter()
-        store(Inputs(spark, sf_dir), root)
+        stored = store(Inputs(spark, sf_dir), root)
         setup = time.perf_counter() - begun
-        stored = StoredInputs(spark, root)
         for name in QUERIES:
             build, _ = CHECKS[name]
             timed(build(stored))

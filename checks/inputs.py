@@ -5,11 +5,15 @@ The texts follow FIXTURES.md. Sample times shrink tenfold into 2024-01-01 .. 202
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotledger.sources.tables import write_table
+from slotledger import schemas
+from slotledger.sources.tables import VIEW, read_table, write_result, write_table
 
 AS_OF = "2024-01-04 00:00:00"
 
@@ -103,13 +107,61 @@ from (select *, case when k % 9 = 0 then k-1 else k end as j
       from (select us, event_id % 3 as rid, row_number() over (partition by event_id % 3 order by us, event_id) as k
             from jobs_base) y) z""",
     "capacity_commitment_changes": """
-select @mk@(us) as change_timestamp, 'cc_' || cast(rid as string) as capacity_commitment_id,
+select @mk@(us) as change_timestamp, 'admin-a' as project_id, 'cc_' || cast(rid as string) as capacity_commitment_id,
  case when k % 7 = 1 then 'CREATE' when k % 7 = 0 then 'DELETE' else 'UPDATE' end as action,
  ((j*13) % 4)*100 as slot_count,
  case when k % 7 = 1 then 'PENDING' else 'ACTIVE' end as state, 'ENTERPRISE' as edition
 from (select *, case when k % 7 = 0 then k-1 else k end as j
       from (select us, event_id % 2 as rid, row_number() over (partition by event_id % 2 order by us, event_id) as k
             from jobs_base) y) z""",
+    # the same jobs as three projects see them: the organisation's all, an admin project its own
+    # reservations' and two projects', and a plain project its own
+    "jobs_views": """
+select *, 'org-main' as view_project from jobs
+union all
+select *, 'admin-a' from jobs where reservation_id like 'admin-a%' or project_id in ('project-0', 'project-1')
+union all
+select *, project_id from jobs where project_id in ('project-2', 'project-3')""",
+    "jobs_timeline_views": """
+select *, 'org-main' as view_project from jobs_timeline
+union all
+select *, 'admin-a' from jobs_timeline where reservation_id like 'admin-a%' or project_id in ('project-0', 'project-1')""",
+    "jobs_text_views": """
+select project_id, job_id, creation_time, query, 'org-main' as view_project from jobs_text
+union all
+select project_id, job_id, creation_time, 'text of ' || project_id || ': ' || query, project_id from jobs_text
+union all
+select project_id, job_id, creation_time, 'not its own', 'project-0' from jobs_text where project_id <> 'project-0'""",
+    "reservation_changes_views": """
+select *, 'org-main' as view_project from reservation_changes
+union all
+select *, 'admin-a' from reservation_changes where reservation_name <> 'res-1'
+union all
+select change_timestamp, 'admin-b', 'b-' || reservation_name, action, current_slots * 2, slot_capacity + 50, edition, 'admin-b'
+from reservation_changes where reservation_name <> 'res-0'
+union all
+select change_timestamp, 'admin-b', 'b-' || reservation_name, action, current_slots * 2, slot_capacity + 50, edition, 'org-main'
+from reservation_changes where reservation_name <> 'res-0'""",
+    "capacity_commitment_changes_views": """
+select *, 'org-main' as view_project from capacity_commitment_changes
+union all
+select *, 'admin-b' from capacity_commitment_changes where capacity_commitment_id = 'cc_1'""",
+    # thousands of entries at one instant, and nearly all of a log in one hour
+    "reservation_changes_crowded": """
+select @mk@(case when event_id % 10 < 9 then 1704175200000000 else us end) as change_timestamp,
+ 'admin-a' as project_id, 'res-' || cast(event_id as string) as reservation_name, 'CREATE' as action,
+ case when event_id % 13 = 5 then null else ((event_id*31) % 10)*50 end as current_slots,
+ ((event_id*17) % 7)*100 as slot_capacity, 'ENTERPRISE' as edition
+from jobs_base""",
+    "capacity_commitment_changes_crowded": """
+select @mk@(case when event_id % 10 < 9 then 1704175200000000 else us end) as change_timestamp,
+ 'admin-a' as project_id, 'cc_' || cast(event_id as string) as capacity_commitment_id, 'CREATE' as action,
+ ((event_id*13) % 4)*100 as slot_count, 'ACTIVE' as state, 'ENTERPRISE' as edition
+from jobs_base""",
+    "jobs_crowded": """
+select job_id, project_id, case when num % 10 < 9 then 'user1@example.com' else user_email end as user_email,
+ @mk@(case when num % 10 < 9 then 1704186000000000 + num * 997 else us end) as creation_time, total_slot_ms
+from (select *, cast(substr(job_id, 5) as bigint) as num from jobs) x""",
     "attribution_config": """
 select 'res-a' as reservation_key, 0.054e0 as sku_rate, 4800.02e0 as total_admin_bill
 union all select 'admin-b:US.res-b', 0.06e0, 1e0
@@ -128,6 +180,14 @@ BASES = {
     "reservation_changes": ["jobs_base"],
     "capacity_commitment_changes": ["jobs_base"],
     "attribution_config": [],
+    "jobs_views": ["jobs"],
+    "jobs_timeline_views": ["jobs_timeline"],
+    "jobs_text_views": ["jobs_text"],
+    "reservation_changes_views": ["reservation_changes"],
+    "capacity_commitment_changes_views": ["capacity_commitment_changes"],
+    "reservation_changes_crowded": ["jobs_base"],
+    "capacity_commitment_changes_crowded": ["jobs_base"],
+    "jobs_crowded": ["jobs"],
 }
 
 
@@ -153,8 +213,14 @@ def _text(name: str, dialect: str) -> str:
     return text
 
 
-def duckdb_sql(body: str, *names: str) -> str:
-    """``body`` after the derivations of the named tables; body may start with more CTEs."""
+def duckdb_sql(body: str, *names: str, views: dict[str, str] | None = None) -> str:
+    """``body`` after the derivations of the named tables; body may start with more CTEs.
+
+    ``views`` has tables that are read from their views instead, each with the condition on a view's rows.
+    """
+    for table, condition in (views or {}).items():
+        names = (*names, f"{table}_views")
+        body = re.sub(rf"\bfrom {table}\b", f"from (select * exclude (view_project) from {table}_views where {condition})", body)
     ctes = [f"{name} as ({_text(name, 'duckdb')}\n)" for name in _needed(list(names))]
     body = body.strip()
     if body.lower().startswith("with "):
@@ -178,33 +244,77 @@ class Inputs:
             text = text.replace(f"from {base}", f"from {{{base}}}")
         return self.spark.sql(text, **bases) if bases else self.spark.sql(text)
 
-    jobs_base = cached_property(lambda self: self.derived("jobs_base"))
-    jobs = cached_property(lambda self: self.derived("jobs"))
-    jobs_timeline = cached_property(lambda self: self.derived("jobs_timeline"))
-    jobs_text = cached_property(lambda self: self.derived("jobs_text"))
-    table_storage = cached_property(lambda self: self.derived("table_storage"))
-    schemata_options = cached_property(lambda self: self.derived("schemata_options"))
-    organization_options = cached_property(lambda self: self.derived("organization_options"))
-    reservations = cached_property(lambda self: self.derived("reservations"))
-    reservation_changes = cached_property(lambda self: self.derived("reservation_changes"))
-    capacity_commitment_changes = cached_property(lambda self: self.derived("capacity_commitment_changes"))
-    attribution_config = cached_property(lambda self: self.derived("attribution_config"))
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TEXTS:
+            raise AttributeError(name)
+        made = self.derived(name)
+        setattr(self, name, made)
+        return made
+
+
+def as_declared(df: DataFrame, name: str) -> DataFrame:
+    """The columns that the product's tables have, nested where they are there."""
+    flat = set(df.columns)
+    if "has_error" in flat:
+        failed = F.when(F.col("has_error"), F.struct(F.lit("failed").alias("reason"), *[F.lit(None).cast("string").alias(c) for c in ("location", "message")]))
+        hashes = F.struct(F.col("query_hash").alias("normalized_literals"))
+        df = df.withColumns({"error_result": failed, "query_info": F.struct(hashes.alias("query_hashes"))})
+    for level in flat & {"max_slots", "current_slots"}:
+        df = df.withColumn("autoscale", F.struct(F.col(level).cast("long").alias(level)))
+    declared = schemas.TABLES[name].fields
+    views = [VIEW] if VIEW in flat else []
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in declared], *views)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: in the cluster's checkpoint folder, or here in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="checks-")
+    return f"{named.rstrip('/')}/checks-{uuid.uuid4().hex}"
+
+
+def _place(name: str) -> tuple[str, str]:
+    """The product's table of a derived one, and the folder below the root."""
+    for folder in ("views", "crowded"):
+        if name.endswith(f"_{folder}"):
+            return name.removesuffix(f"_{folder}"), folder
+    return name, ""
 
 
 class StoredInputs(Inputs):
-    """The same tables, written once by :func:`store` and read back from ``root``."""
+    """The same tables as the product stores them, read from ``root`` with their declared schemas.
+
+    A table ``<name>_views`` is stored as table ``name`` below ``views/``, divided by view, and a crowded
+    one below ``crowded/``.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         super().__init__(spark, root)
 
     def derived(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}")
+        table, folder = _place(name)
+        if folder:
+            return read_table(self.spark, f"{self.sf_dir}/{folder}", table, views=folder == "views")
+        if name == "attribution_config":
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}")
+        return read_table(self.spark, self.sf_dir, name)
+
+
+def store(inputs: Inputs, root: str, names: list[str] | None = None) -> StoredInputs:
+    """Write derived tables, by default all but those of special cases, and tell where they are read."""
+    for name in names or [n for n in TEXTS if n != "jobs_base" and not n.endswith(("_views", "_crowded"))]:
+        table, folder = _place(name)
+        made = getattr(inputs, name)
+        if name == "attribution_config":
+            write_result(made, f"{root}/{name}")
+        else:
+            write_table(as_declared(made, table), f"{root}/{folder}" if folder else root, table)
+    return StoredInputs(inputs.spark, root)
 
 
-def store(inputs: Inputs, root: str) -> None:
-    """Write every derived table; what derives from jobs reads the jobs just written."""
-    for name in TEXTS:
-        if name != "jobs_base":
-            write_table(inputs.derived(name), root, name)
-        if name == "jobs":
-            inputs.jobs = StoredInputs(inputs.spark, root).jobs
+def from_store(*names: str):
+    """Inputs that were written to a folder and read back, for queries of what is between."""
+    return lambda i: store(i, scratch(i.spark), list(names))

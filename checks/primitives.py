@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import AS_OF, Inputs, duckdb_sql
 from checks.reports import (
-    DELTAS_SQL, END, PER_SECOND_SQL, PROFILE_SQL, TRICKLE_PARAMS, WINDOW_SQL, in_text, six_places,
+    DELTAS_SQL, END, PROFILE_SQL, TRICKLE_PARAMS, USED_SQL, in_text, six_places,
 )
 from slotledger import params as p
 from slotledger.functions import costs, ids, times
@@ -323,13 +323,12 @@ def profile(i: Inputs) -> DataFrame:
     return six_places(in_text(found, "hour_bucket"), "avg_slots_per_query")
 
 
-WINDOW_SELECT = """select strftime(w, '%Y-%m-%dT%H:%M:%S+00:00') as window_start, {keys}
- round(avg_slots, 6) as avg_slots, round(max_slots, 6) as max_slots from {source}"""
-
-
-def window_sql(keys: str, source: str) -> str:
-    text = WINDOW_SQL.format(m=5, s=300)
-    return duckdb_sql(f"with {PER_SECOND_SQL},{text} " + WINDOW_SELECT.format(keys=keys, source=source), "jobs_timeline")
+def window_sql(keys: str, which: str) -> str:
+    return duckdb_sql(
+        f"with {USED_SQL.format(us=300000000)} select strftime(w, '%Y-%m-%dT%H:%M:%S+00:00') as window_start, {keys}"
+        f" round(held, 6) as avg_slots, round(top, 6) as max_slots from span where who {which} 'MERGED (Simulated)'",
+        "jobs_timeline",
+    )
 
 
 MINUTES_WHERE = """period_start >= timestamp '2023-12-28 00:00:00'
@@ -346,8 +345,8 @@ AGGREGATES = {
             "table_storage",
         ),
     ),
-    "aggregate_slot_windows": (lambda i: windows(i, False), window_sql("reservation_id,", "win")),
-    "aggregate_merged_slot_windows": (lambda i: windows(i, True), window_sql("", "mwin")),
+    "aggregate_slot_windows": (lambda i: windows(i, False), window_sql("who as reservation_id,", "<>")),
+    "aggregate_merged_slot_windows": (lambda i: windows(i, True), window_sql("", "=")),
     "aggregate_minute_usage": (
         lambda i: in_text(matrix.minute_usage(i.jobs_timeline, p.MatrixParams(as_of=AS_OF)), "usage_minute"),
         duckdb_sql(
@@ -413,9 +412,10 @@ LOG_PARAMS = p.ProvisioningParams(as_of=AS_OF)
 LOG_SQL = "with " + DELTAS_SQL.format(end=END, edition="ENTERPRISE")
 
 
-def previous_jobs(i: Inputs) -> DataFrame:
+def previous_jobs(i: Inputs, jobs: DataFrame | None = None) -> DataFrame:
     """The previous job of each user, within and across days."""
-    lagged = lag_row(i.jobs, ["user_email"], ["creation_time", "job_id"], ["job_id", "total_slot_ms"], "before", "HOUR")
+    rows = (i.jobs if jobs is None else jobs).select("user_email", "creation_time", "job_id", "total_slot_ms")
+    lagged = lag_row(rows, ["user_email"], ["creation_time", "job_id"], ["job_id", "total_slot_ms"], "before")
     return lagged.select("job_id", F.col("before.job_id").alias("previous_job"),
                          F.col("before.total_slot_ms").alias("previous_slot_ms"))
 
@@ -467,6 +467,29 @@ WINDOWS = {
             "jobs",
         ),
     ),
+    # nine tenths of the jobs are one user's, in one hour
+    "window_previous_job_crowded": (
+        lambda i: previous_jobs(i, i.jobs_crowded),
+        duckdb_sql(
+            """select job_id, lag(job_id) over w as previous_job, lag(total_slot_ms) over w as previous_slot_ms
+            from jobs_crowded window w as (partition by user_email order by creation_time, job_id)""",
+            "jobs_crowded",
+        ),
+    ),
+    "join_asof_crowded": (
+        lambda i: asof_backward(
+            i.jobs_crowded.select("job_id", "user_email", "creation_time"),
+            i.jobs_crowded.where("substr(job_id, -1) = '3'").select("user_email", "creation_time", F.col("total_slot_ms").alias("latest")),
+            "creation_time", "creation_time", ["latest"], by=["user_email"], sequence=["latest"],
+        ).select("job_id", "latest"),
+        duckdb_sql(
+            """with l as (select user_email, creation_time, max(coalesce(total_slot_ms, -1)) as latest from jobs_crowded
+             where substr(job_id, -1) = '3' group by all)
+            select job_id, nullif(latest, -1) as latest from jobs_crowded j asof left join l
+            on j.user_email = l.user_email and j.creation_time >= l.creation_time""",
+            "jobs_crowded",
+        ),
+    ),
     "window_running_total": (
         running_bytes,
         duckdb_sql(

@@ -1,73 +1,93 @@
-"""Ordered operations over long logs, cut into blocks of time.
+"""Ordered operations over long logs, cut into blocks of about equal size.
 
-A window without a partition, or with one hot partition, puts its whole input into one task.
-Here the window runs inside (key, block) and a second, small window runs over one row per
-block: its length is the number of blocks in the time span, whatever the number of rows.
+A window without a partition, or with one hot partition, puts its whole input into one task. Here
+the rows are dealt by ranges of the whole order, keys first, so that a block is a run of consecutive
+rows whatever the keys and the times are: the cuts come from a sample of the rows, and a key or an
+hour that holds most of a log is cut as often as its rows need. Windows run inside a block. What a
+block hands on is one row; those rows, one for each block, meet in one task and are broadcast.
+
+Rows that are equal in every ordered column stay together, as no cut lies between them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY, BLOCK, CARRY = "_key", "_block", "_carry"
+BLOCK, CARRY, KEY = "_block", "_carry", "_key"
 
 
-def _struct(names: list[str]) -> Column:
-    # a struct of nullable fields is itself never NULL, so equal keys join even if they hold NULLs
-    return F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(0).alias("all"))
+def in_blocks(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with the number of its block, one partition for each: ascending runs of ``order``."""
+    ranged = df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id())
+    # by number, not by its hash, which would put several blocks into one task
+    return ranged.repartitionById(_partitions(df), BLOCK)
 
 
-def lag_row(
-    df: DataFrame, keys: list[str], order: list[str], carried: list[str], into: str, unit: str = "DAY"
-) -> DataFrame:
+def block_figures(blocks: DataFrame, *figures: Column) -> DataFrame:
+    """``(_block, _figures)``: one row for each block, with aggregates of its rows as one struct.
+
+    The struct passes through an array together with a value of every column: pruned to the
+    columns that it needs, this use of the blocks would be another scan and shuffle.
+    """
+    every = F.any_value(F.struct(*[c for c in blocks.columns if c != BLOCK])).alias("every")
+    held = blocks.groupBy(BLOCK).agg(F.array(F.struct(*figures, every)).alias("_array"))
+    return held.select(BLOCK, F.element_at("_array", 1).alias("_figures"))
+
+
+def _partitions(df: DataFrame) -> int:
+    conf = df.sparkSession.conf
+    shuffle = conf.get("spark.sql.shuffle.partitions")
+    return int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or shuffle)
+
+
+def _same(pairs: list[tuple[Column, Column]]) -> Column:
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs], F.lit(True))
+
+
+def lag_row(df: DataFrame, keys: list[str], order: list[str], carried: list[str], into: str) -> DataFrame:
     """The previous row of each key as struct ``into``, NULL on the first.
 
-    ``order[0]`` is a timestamp, rows without it are left out, and the order is total. The last
-    row of each block is handed to the next block of its key.
+    Rows without ``order[0]`` are left out. The last row of each block is handed to the next one. Leave
+    only columns in ``df`` that are used later: the two uses of the rows then share one scan and shuffle.
     """
-    others = [c for c in df.columns if c not in keys]
-    rows = df.select(_struct(keys).alias(KEY), F.date_trunc(unit, order[0]).alias(BLOCK), *others)
-    # the join below implies this; said here, both uses of the rows share one scan and shuffle
-    rows = rows.filter(F.col(BLOCK).isNotNull())
-    inside = Window.partitionBy(KEY, BLOCK).orderBy(*order)
-    last = rows.withColumn("_later", F.lead(F.lit(1)).over(inside)).filter(F.col("_later").isNull())
-    handed = F.lag(_struct(carried)).over(Window.partitionBy(KEY).orderBy(BLOCK))
-    before = last.select(KEY, BLOCK, handed.alias(CARRY))
+    sort, held = [*keys, *order], list(dict.fromkeys([*keys, *carried]))
+    rows = in_blocks(df.filter(F.col(order[0]).isNotNull()), sort)
+    inside = Window.partitionBy(BLOCK).orderBy(*sort)
+    last = F.max_by(F.struct(*held), F.struct(*sort)).alias("last")
+    handed = block_figures(rows, last).select(BLOCK, F.lag(F.col("_figures")["last"]).over(Window.orderBy(BLOCK)).alias(CARRY))
     # column by column: a struct would be built below the shuffle and make it another one
-    lags = {f"_lag_{c}": F.lag(c).over(inside) for c in carried}
-    within = F.struct(*[F.col(f"_lag_{c}").alias(c) for c in carried])
-    return (
-        rows.withColumns({**lags, "_has_lag": F.lag(F.lit(True)).over(inside)})
-        .join(before, [KEY, BLOCK])
-        .select(
-            *([f"{KEY}.*"] if keys else []), *others,
-            F.when(F.col("_has_lag"), within).otherwise(F.col(CARRY)).alias(into),
-        )
+    lagged = rows.withColumns({"_has": F.lag(F.lit(True)).over(inside), **{f"_lag_{c}": F.lag(c).over(inside) for c in held}})
+    within = F.when(_same([(F.col(f"_lag_{k}"), F.col(k)) for k in keys]), F.struct(*[F.col(f"_lag_{c}").alias(c) for c in carried]))
+    carry = F.col(CARRY)
+    across = F.when(
+        carry.isNotNull() & _same([(carry[k], F.col(k)) for k in keys]), F.struct(*[carry[c].alias(c) for c in carried])
+    )
+    # one row for each block, of which there are no more than shuffle partitions
+    return lagged.join(F.broadcast(handed), BLOCK).select(
+        *df.columns, F.when(F.col("_has"), within).otherwise(across).alias(into)
     )
 
 
-def running_steps(points: DataFrame, ts: str, totals: list[str], following: str, unit: str = "HOUR") -> DataFrame:
+def running_steps(points: DataFrame, ts: str, totals: list[str], following: str) -> DataFrame:
     """Running totals over unique timestamps, and the next timestamp as ``following``."""
-    rows = points.withColumn(BLOCK, F.date_trunc(unit, ts))
+    rows = in_blocks(points, [ts])
     inside = Window.partitionBy(BLOCK).orderBy(ts)
-    blocks = rows.groupBy(BLOCK).agg(F.min(ts).alias("_first"), *[F.sum(t).alias(f"_sum_{t}") for t in totals])
+    ends = block_figures(rows, F.min(ts).alias("first"), *[F.sum(t).alias(f"sum_{t}") for t in totals])
     along = Window.orderBy(BLOCK)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        BLOCK,
-        F.lead("_first").over(along).alias("_next_block"),
-        *[F.coalesce(F.sum(f"_sum_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
-    )
-    running = rows.withColumns(
-        {following: F.lead(ts).over(inside), **{t: F.sum(t).over(inside) for t in totals}}
+    figures = F.col("_figures")
+    offsets = ends.select(
+        BLOCK, F.lead(figures["first"]).over(along).alias("_next_block"),
+        *[F.coalesce(F.sum(figures[f"sum_{t}"]).over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
     )
+    running = rows.withColumns({following: F.lead(ts).over(inside), **{t: F.sum(t).over(inside) for t in totals}})
     return (
-        running.join(offsets, BLOCK)
-        .withColumns(
-            {following: F.coalesce(following, "_next_block"), **{t: F.col(t) + F.col(f"_off_{t}") for t in totals}}
-        )
-        .drop(BLOCK, "_next_block", *[f"_off_{t}" for t in totals])
+        running.join(F.broadcast(offsets), BLOCK)
+        .withColumns({following: F.coalesce(following, "_next_block"), **{t: F.col(t) + F.col(f"_off_{t}") for t in totals}})
+        .select(*points.columns, following)
     )
 
 
@@ -79,16 +99,16 @@ def asof_backward(
     values: list[str],
     by: list[str] | None = None,
     sequence: list[str] | None = None,
-    unit: str = "HOUR",
 ) -> DataFrame:
     """Each left row with ``values`` of the latest right row at or before it, NULL if none.
 
     Left rows are kept one for one; those without a time have NULL values. Right rows without a
-    time are left out. Among right rows with equal time, the last by ``sequence`` wins. Rows are
-    ordered inside blocks of time, and the last value of a block is carried over the blocks of its
-    key that have rows on either side, so neither gaps nor the time after the last change cost rows.
+    time are left out. Among right rows with equal time, the last by ``sequence`` wins. What a block
+    hands on is the last value of its last key, so neither gaps nor the time after the last change
+    cost rows.
     """
     by, sequence = by or [], sequence or []
+    # a struct of nullable fields is itself never NULL, so equal keys meet even if they hold NULLs
     left_rows = left.select(
         _struct(by).alias(KEY), F.col(left_ts).alias("_ts"), F.lit(2).alias("_side"), _struct(left.columns).alias("_row")
     )
@@ -96,21 +116,20 @@ def asof_backward(
         _struct(by).alias(KEY), F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"),
         _struct(sequence).alias("_seq"), _struct(values).alias("_value"),
     )
-    # rows without a time have a block of their own in each key, which no right row is in
-    rows = right_rows.unionByName(left_rows, allowMissingColumns=True).withColumn(
-        BLOCK, F.coalesce(F.date_trunc(unit, "_ts"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
-    )
-    # the join below implies this; said here, both uses of the rows share one scan and shuffle
-    rows = rows.filter(F.col(KEY).isNotNull() & F.col(BLOCK).isNotNull())
-    ordered = Window.partitionBy(KEY, BLOCK).orderBy("_ts", "_side", "_seq")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sort = [KEY, "_ts", "_side", "_seq"]
+    rows = in_blocks(right_rows.unionByName(left_rows, allowMissingColumns=True), sort)
+    upto = Window.partitionBy(BLOCK, KEY).orderBy(*sort[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("_seen", F.last("_value", ignorenulls=True).over(upto))
-    along = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    # the left row goes along for the same reason: pruned away, it would make this another shuffle
-    last = F.max_by(F.struct("_seen", "_row"), F.struct("_ts", "_side", "_seq"))
-    carried = seen.groupBy(KEY, BLOCK).agg(last.alias("_last")).select(
-        KEY, BLOCK, F.last("_last._seen", ignorenulls=True).over(along).alias(CARRY)
-    )
-    matched = seen.join(carried, [KEY, BLOCK]).filter(F.col("_side") == 2)
-    value = F.coalesce("_seen", CARRY)
+    last = F.max_by(F.struct(KEY, "_seen"), F.struct(*sort)).alias("last")
+    ends = block_figures(seen, last).select(BLOCK, F.col("_figures")["last"].alias("_last"))
+    of_key = Window.partitionBy(f"_last.{KEY}").orderBy(BLOCK)
+    ends = ends.select(BLOCK, F.col(f"_last.{KEY}").alias("key"), F.last("_last._seen", ignorenulls=True).over(of_key).alias("value"))
+    handed = ends.select(BLOCK, F.lag(F.struct("key", "value")).over(Window.orderBy(BLOCK)).alias(CARRY))
+    matched = seen.join(F.broadcast(handed), BLOCK).filter(F.col("_side") == 2)
+    carried = F.when(F.col(f"{CARRY}.key") == F.col(KEY), F.col(f"{CARRY}.value"))
+    value = F.coalesce("_seen", carried)
     return matched.select("_row.*", *[value.getField(v).alias(v) for v in values])
+
+
+def _struct(names: list[str]) -> Column:
+    return F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(0).alias("all"))

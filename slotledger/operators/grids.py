@@ -27,3 +27,16 @@ def week_grid(spark: SparkSession) -> DataFrame:
 def band_label(slots, step: int):
     """Label of the band that ends at a grid point."""
     return F.when(slots == 0, "[0 → 0]").otherwise(F.format_string("[%d → %d]", slots - step, slots))
+
+
+def repeated(df: DataFrame, times: str, into: str, chunk: int = 10_000) -> DataFrame:
+    """Each row ``times`` over, numbered from 1 in ``into``.
+
+    Rows are generated in chunks, so that the arrays that they come from are short: a row repeated
+    n times holds n / ``chunk`` numbers, and then a chunk of them, at once.
+    """
+    last = F.ceil(F.col(times) / chunk) - 1
+    chunks = df.where(F.col(times) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    first = F.col("_chunk") * chunk
+    copies = F.sequence(first + 1, F.least(first + chunk, F.col(times)))
+    return chunks.withColumn(into, F.explode(copies)).drop("_chunk")

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from slotledger.operators.blocks import BLOCK, block_figures, in_blocks
+
+#: Up to so many rows one task merges what every task has kept.
+MERGED_ROWS = 100_000
+BINS = 4096
 
 
 def top_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
@@ -13,3 +20,35 @@ def top_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     below it, they would part the limit from its sort, and all rows would be sorted by range.
     """
     return df.orderBy(*order).limit(n).coalesce(1)
+
+
+def most(df: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
+    """The ``n`` rows with the highest whole numbers ``by``, equal ones by ``ties``; NULLs come last.
+
+    For few rows this is :func:`top_rows`. Of many, no task could hold them: a histogram of ``by`` tells
+    in which bin the n-th row is. Rows above are taken as they are, and only the rows of that bin are
+    put in order, by ranges, and counted along these. Rows come in no particular order.
+    """
+    if n <= MERGED_ROWS:
+        return top_rows(df, [F.desc_nulls_last(by), *ties], n)
+    # widths in proportion to the number, so that bins are narrow where values are small
+    size = F.floor(F.log1p(F.abs(F.col(by).cast("double"))) * (BINS / 44))
+    rows = df.withColumn("_bin", F.coalesce(F.when(F.col(by) < 0, -size).otherwise(size), F.lit(-BINS - 1)))
+    counts = rows.groupBy("_bin").agg(F.count("*").alias("_n"))
+    # at most two bins for each of the widths, whatever the input
+    higher = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0))).filter(F.col("_above") < n)
+    placed = rows.join(F.broadcast(above), "_bin")
+    whole = placed.filter(F.col("_above") + F.col("_n") <= n).select(*df.columns)
+    # no more than the rows of one bin are sorted; a negated key puts the highest first, NULLs last
+    last = placed.filter(F.col("_above") + F.col("_n") > n).withColumns(
+        {"_null": F.col(by).isNull(), "_down": -F.col(by).cast("decimal(38,0)")}
+    )
+    sort = ["_null", "_down", *ties]
+    blocks = in_blocks(last, sort)
+    counts = block_figures(blocks, F.count("*").alias("rows"))
+    before = F.sum(counts["_figures"]["rows"]).over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(BLOCK, F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*sort)) + F.col("_above")
+    ranked = blocks.withColumn("_rank", rank).join(F.broadcast(starts), BLOCK)
+    return whole.unionByName(ranked.filter(F.col("_rank") + F.col("_before") <= n).select(*df.columns))

@@ -9,6 +9,18 @@ Instant = datetime | str | None
 Day = date | str | None
 
 
+@dataclass(frozen=True, kw_only=True)
+class Scoped:
+    """Whose view is read of tables that hold several: the admin project's, else the organisation's.
+
+    Without either it is the view of the account's own project, and of that project's own rows alone.
+    """
+
+    admin_project_id: str | None = None
+    org_project_id: str | None = None
+    home_project_id: str | None = None
+
+
 @dataclass(frozen=True)
 class StorageParams:
     active_logical_price: float = 0.02
@@ -23,7 +35,7 @@ class StorageParams:
 
 
 @dataclass(frozen=True)
-class JobCostParams:
+class JobCostParams(Scoped):
     on_demand_rate_per_tb: float = 6.25
     edition_slot_hr_rate: float = 0.06
     slot_step_size: int = 50
@@ -36,18 +48,17 @@ class JobCostParams:
 
 
 @dataclass(frozen=True)
-class SlotParams:
+class SlotParams(Scoped):
     lookback_days: int = 7
     window_minutes: int = 5
     percentile: int = 90
     accuracy: int = 10000
-    org_project_id: str | None = None
     region: str = "region-us"
     as_of: Instant = None
 
 
 @dataclass(frozen=True)
-class UtilizationParams:
+class UtilizationParams(Scoped):
     lookback_days: int = 7
     timezone: str = "America/New_York"
     resolution: str = "MINUTE"
@@ -57,7 +68,7 @@ class UtilizationParams:
 
 
 @dataclass(frozen=True)
-class MatrixParams:
+class MatrixParams(Scoped):
     lookback_days: int = 7
     max_baseline: int = 10000
     step_size: int = 50
@@ -68,20 +79,20 @@ class MatrixParams:
 
 
 @dataclass(frozen=True)
-class ProvisioningParams:
+class ProvisioningParams(Scoped):
     lookback_days: int = 7
     edition: str = "ENTERPRISE"
     as_of: Instant = None
 
 
 @dataclass(frozen=True)
-class PeakParams:
+class PeakParams(Scoped):
     lookback_days: int = 30
     as_of: Instant = None
 
 
 @dataclass(frozen=True)
-class TrickleParams:
+class TrickleParams(Scoped):
     lookback_days: int = 7
     min_hourly_queries: int = 60
     max_avg_slots: float = 100.0
@@ -94,7 +105,7 @@ class TrickleParams:
 
 
 @dataclass(frozen=True)
-class SpenderParams:
+class SpenderParams(Scoped):
     lookback_days: int = 7
     od_price: float = 6.25
     ed_price: float = 0.06
@@ -103,7 +114,7 @@ class SpenderParams:
 
 
 @dataclass(frozen=True)
-class AttributionParams:
+class AttributionParams(Scoped):
     """Both dates are inclusive; left out, they are the calendar month before ``as_of``."""
 
     billing_month_start: Day = None

@@ -11,6 +11,7 @@ from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import between_days, day, previous_month
 from slotledger.params import AttributionParams
 from slotledger.session import require_utc
+from slotledger.sources.tables import in_view
 
 MONEY = ["direct_usage_cost_usd", "allocated_waste_cost_usd", "total_cost_attribution_usd"]
 CONFIG = ["sku_rate", "total_admin_bill", "waste_rule", "central_project"]
@@ -24,7 +25,7 @@ def project_usage(jobs: DataFrame, params: AttributionParams = AttributionParams
         first = day(params.billing_month_start)
     if params.billing_month_end is not None:
         last = day(params.billing_month_end)
-    billed = between_days(jobs, "creation_time", first, last, "creation_date")
+    billed = between_days(in_view(jobs, params), "creation_time", first, last, "creation_date")
     return (
         billed.filter(only.is_query() & only.known_not_script() & only.on_reservation())
         .groupBy("project_id", "reservation_id")

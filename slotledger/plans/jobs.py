@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from slotledger.functions import costs
 from slotledger.functions import predicates as only
 from slotledger.functions.times import since, whole_milliseconds
-from slotledger.operators.topk import top_rows
+from slotledger.operators.topk import most, top_rows
 from slotledger.params import JobCostParams
-from slotledger.sources.tables import shape_jobs
+from slotledger.sources.tables import in_view, shape_jobs
 
 JOB_COLUMNS = [
     "job_id", "project_id", "user_email", "on_demand_cost", "editions_cost", "waste_savings",
@@ -23,7 +23,7 @@ def largest_jobs(jobs: DataFrame, params: JobCostParams = JobCostParams()) -> Da
 
     That cut is an option. It comes before costing and totals, which then cover the largest jobs only.
     """
-    recent = since(shape_jobs(jobs), "creation_time", params.as_of, params.lookback_days, partition="creation_date")
+    recent = since(in_view(shape_jobs(jobs), params), "creation_time", params.as_of, params.lookback_days, partition="creation_date")
     eligible = (
         recent.filter(
             only.is_done() & only.is_query() & only.not_script() & only.not_cached()
@@ -36,7 +36,7 @@ def largest_jobs(jobs: DataFrame, params: JobCostParams = JobCostParams()) -> Da
     )
     if params.limit_jobs is None:
         return eligible
-    return top_rows(eligible, [F.desc("total_bytes_billed"), "job_id", "project_id"], params.limit_jobs)
+    return most(eligible, "total_bytes_billed", ["job_id", "project_id"], params.limit_jobs)
 
 
 def _costed(jobs: DataFrame, params: JobCostParams) -> DataFrame:

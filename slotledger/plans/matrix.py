@@ -12,6 +12,7 @@ from slotledger.functions.times import since
 from slotledger.operators.grids import band_label, baseline_grid, baseline_steps
 from slotledger.params import MatrixParams
 from slotledger.session import require_utc
+from slotledger.sources.tables import in_view
 
 MINUTE_MS = 60000
 PLANS = [("PAYG (0 Commit)", "total_payg"), ("1 Year Commit", "total_1yr"), ("3 Year Commit", "total_3yr")]
@@ -20,7 +21,7 @@ PLANS = [("PAYG (0 Commit)", "total_payg"), ("1 Year Commit", "total_1yr"), ("3
 def minute_usage(timeline: DataFrame, params: MatrixParams = MatrixParams()) -> DataFrame:
     """Slot milliseconds per minute that has usage rows."""
     require_utc(timeline.sparkSession)
-    recent = since(timeline, "period_start", params.as_of, params.lookback_days, True, "period_date")
+    recent = since(in_view(timeline, params), "period_start", params.as_of, params.lookback_days, True, "period_date")
     return (
         recent.filter(only.is_query() & only.not_script())
         .groupBy(F.date_trunc("minute", "period_start").alias("usage_minute"))

@@ -10,11 +10,13 @@ from slotledger.functions.predicates import came_after
 from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import days_before, instant, iso_text, whole_seconds
 from slotledger.operators.blocks import asof_backward, lag_row, running_steps
+from slotledger.operators.grids import repeated
 from slotledger.params import ProvisioningParams, UtilizationParams
 from slotledger.plans.slots import utilization_buckets
 from slotledger.session import require_utc
-from slotledger.sources.tables import shape_reservation_changes
+from slotledger.sources.tables import in_admin_project, shape_reservation_changes
 
+RESERVATION, COMMITMENT = "reservation", "commitment"
 TOTALS = ["current_slots", "baseline_slots", "capacity_slots"]
 
 
@@ -33,44 +35,58 @@ def _level_change(action: Column, level: Column, before: Column, was_alive: Colu
     )
 
 
-def reservation_deltas(changes: DataFrame, params: ProvisioningParams = ProvisioningParams()) -> DataFrame:
-    """Moves of the autoscaled and baseline totals. The edition filter comes before the lag."""
+def reservation_events(changes: DataFrame, params: ProvisioningParams = ProvisioningParams()) -> DataFrame:
+    """Entries of the reservation log as events. The edition filter comes before the lag."""
+    _, end = _span(params)
+    log = in_admin_project(shape_reservation_changes(changes), params)
+    return log.filter((F.col("change_timestamp") <= end) & (F.col("edition") == params.edition)).select(
+        F.lit(RESERVATION).alias("log"), F.col("project_id").alias("owner"), F.col("reservation_name").alias("name"),
+        "change_timestamp", "action", F.col("current_slots").alias("level"), F.col("slot_capacity").alias("base"),
+    )
+
+
+def commitment_events(changes: DataFrame, params: ProvisioningParams = ProvisioningParams()) -> DataFrame:
+    """Entries of the active part of the commitment log as events."""
     _, end = _span(params)
-    log = (
-        shape_reservation_changes(changes)
-        .filter((F.col("change_timestamp") <= end) & (F.col("edition") == params.edition))
-        .select("project_id", "reservation_name", "change_timestamp", "action", "current_slots", "slot_capacity")
+    none = F.lit(None)
+    return in_admin_project(changes, params).filter(
+        (F.col("state") == "ACTIVE") & (F.col("edition") == params.edition) & (F.col("change_timestamp") <= end)
+    ).select(
+        F.lit(COMMITMENT).alias("log"), none.cast("string").alias("owner"), F.col("capacity_commitment_id").alias("name"),
+        "change_timestamp", "action", F.col("slot_count").cast("long").alias("level"), none.cast("long").alias("base"),
     )
-    carried = ["action", "current_slots", "slot_capacity"]
-    lagged = lag_row(log, ["project_id", "reservation_name"], ["change_timestamp", *carried], carried, "before")
+
+
+def event_deltas(events: DataFrame) -> DataFrame:
+    """How each event moves the totals, by the event before it of the same reservation or commitment."""
+    carried = ["action", "level", "base"]
+    lagged = lag_row(events, ["log", "owner", "name"], ["change_timestamp", *carried], carried, "before")
+    action, level, before = F.col("action"), F.col("level"), F.col("before.level")
     alive = came_after(F.col("before.action"))
+    committed = F.when(
+        action.isin("CREATE", "UPDATE"), F.when(alive, F.coalesce(level - before, level)).otherwise(level)
+    ).when((action == "DELETE") & alive, -level).otherwise(F.lit(0))
+    reserves = F.col("log") == RESERVATION
     return lagged.select(
-        "change_timestamp", "reservation_name",
-        _level_change(F.col("action"), F.col("current_slots"), F.col("before.current_slots"), alive)
-        .alias("current_delta"),
-        _level_change(F.col("action"), F.col("slot_capacity"), F.col("before.slot_capacity"), alive)
-        .alias("baseline_delta"),
+        "log", "name", "change_timestamp",
+        F.when(reserves, _level_change(action, level, before, alive)).alias("current_delta"),
+        F.when(reserves, _level_change(action, F.col("base"), F.col("before.base"), alive)).alias("baseline_delta"),
+        F.when(~reserves, committed).alias("capacity_delta"),
+    )
+
+
+def reservation_deltas(changes: DataFrame, params: ProvisioningParams = ProvisioningParams()) -> DataFrame:
+    """Moves of the autoscaled and baseline totals."""
+    return event_deltas(reservation_events(changes, params)).select(
+        "change_timestamp", F.col("name").alias("reservation_name"), "current_delta", "baseline_delta"
     )
 
 
 def commitment_deltas(changes: DataFrame, params: ProvisioningParams = ProvisioningParams()) -> DataFrame:
     """Moves of the committed total, over the active part of the log only."""
-    _, end = _span(params)
-    log = changes.filter(
-        (F.col("state") == "ACTIVE") & (F.col("edition") == params.edition) & (F.col("change_timestamp") <= end)
-    ).select("capacity_commitment_id", "change_timestamp", "action", "slot_count")
-    carried = ["action", "slot_count"]
-    lagged = lag_row(log, ["capacity_commitment_id"], ["change_timestamp", *carried], carried, "before")
-    alive = came_after(F.col("before.action"))
-    count, before = F.col("slot_count"), F.col("before.slot_count")
-    delta = (
-        F.when(
-            F.col("action").isin("CREATE", "UPDATE"), F.when(alive, F.coalesce(count - before, count)).otherwise(count)
-        )
-        .when((F.col("action") == "DELETE") & alive, -count)
-        .otherwise(F.lit(0))
+    return event_deltas(commitment_events(changes, params)).select(
+        "change_timestamp", F.col("name").alias("capacity_commitment_id"), "capacity_delta"
     )
-    return lagged.select("change_timestamp", "capacity_commitment_id", delta.alias("capacity_delta"))
 
 
 def provisioning_steps(
@@ -81,43 +97,30 @@ def provisioning_steps(
     """The step function of provisioned slots: one row per distinct change time from the start of
     the span, with the totals that hold until ``next_timestamp``.
 
-    Both logs become one stream of deltas, summed per timestamp. Everything before the span adds
-    up at its start, so the ordered part covers the span only. ``copies`` counts the log entries
-    at that time, reservations times commitments, each log having an entry at both ends.
+    Both logs are one stream of events: each is read once, and one lag and one running total serve
+    both. Deltas are summed per timestamp, so entries at one time cost one row, however many there
+    are. Everything before the span adds up at its start, so the running totals cover the span only.
+    ``copies`` counts the log entries at that time, reservations times commitments, each log having
+    an entry at both ends.
     """
     start, end = _span(params)
-    none = F.lit(0).cast("long")
-    moved = reservation_deltas(reservation_changes, params).select(
-        "change_timestamp", "current_delta", "baseline_delta", none.alias("capacity_delta"),
-        F.lit(1).alias("in_reservations"), F.lit(0).alias("in_commitments"),
-    ).unionByName(
-        commitment_deltas(commitment_changes, params).select(
-            "change_timestamp", none.alias("current_delta"), none.alias("baseline_delta"), "capacity_delta",
-            F.lit(0).alias("in_reservations"), F.lit(1).alias("in_commitments"),
-        )
+    events = reservation_events(reservation_changes, params).unionByName(commitment_events(commitment_changes, params))
+    reserves = F.col("log") == RESERVATION
+    counted = F.col("change_timestamp") >= start
+    moved = event_deltas(events).select(
+        F.greatest("change_timestamp", start).alias("change_timestamp"), "current_delta", "baseline_delta", "capacity_delta",
+        (counted & reserves).cast("long").alias("in_reservations"), (counted & ~reserves).cast("long").alias("in_commitments"),
     )
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     ends = moved.sparkSession.range(1).select(
-        F.explode(F.array(start, end)).alias("change_timestamp"),
-        none.alias("current_delta"), none.alias("baseline_delta"), none.alias("capacity_delta"),
-        F.lit(1).alias("in_reservations"), F.lit(1).alias("in_commitments"),
+        F.explode(F.array(start, end)).alias("change_timestamp"), zero.alias("current_delta"), zero.alias("baseline_delta"),
+        zero.alias("capacity_delta"), one.alias("in_reservations"), one.alias("in_commitments"),
     )
-    counted = F.col("change_timestamp") >= start
-    points = (
-        moved.unionByName(ends)
-        .select(
-            F.greatest("change_timestamp", start).alias("change_timestamp"),
-            "current_delta", "baseline_delta", "capacity_delta",
-            F.when(counted, F.col("in_reservations")).otherwise(0).alias("in_reservations"),
-            F.when(counted, F.col("in_commitments")).otherwise(0).alias("in_commitments"),
-        )
-        .groupBy("change_timestamp")
-        .agg(
-            or_zero(F.sum("current_delta")).alias("current_slots"),
-            or_zero(F.sum("baseline_delta")).alias("baseline_slots"),
-            or_zero(F.sum("capacity_delta")).alias("capacity_slots"),
-            (F.greatest(F.sum("in_reservations"), F.lit(1)) * F.greatest(F.sum("in_commitments"), F.lit(1)))
-            .alias("copies"),
-        )
+    points = moved.unionByName(ends).groupBy("change_timestamp").agg(
+        or_zero(F.sum("current_delta")).alias("current_slots"),
+        or_zero(F.sum("baseline_delta")).alias("baseline_slots"),
+        or_zero(F.sum("capacity_delta")).alias("capacity_slots"),
+        (F.greatest(F.sum("in_reservations"), one) * F.greatest(F.sum("in_commitments"), one)).alias("copies"),
     )
     return running_steps(points, "change_timestamp", TOTALS, "next_timestamp").withColumn(
         "next_timestamp", F.coalesce("next_timestamp", end)
@@ -129,16 +132,20 @@ def provisioning_timeline(
     commitment_changes: DataFrame,
     params: ProvisioningParams = ProvisioningParams(),
 ) -> DataFrame:
-    """The timeline at whole seconds. Entries at one time share their totals; all but the last
-    have no length."""
-    steps = provisioning_steps(reservation_changes, commitment_changes, params)
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    last = F.col("copy") == F.col("copies")
-    return steps.select("*", copy).select(
+    """The timeline at whole seconds, run-length coded. Entries at one time share their totals: of
+    the ``copies`` of a row all but the last have no length and end where they begin."""
+    return provisioning_steps(reservation_changes, commitment_changes, params).select(
         F.date_trunc("second", "change_timestamp").alias("change_timestamp"),
-        F.date_trunc("second", F.when(last, F.col("next_timestamp")).otherwise(F.col("change_timestamp")))
-        .alias("end_timestamp"),
-        *TOTALS,
+        F.date_trunc("second", "next_timestamp").alias("end_timestamp"),
+        *TOTALS, "copies",
+    )
+
+
+def repeated_timeline(timeline: DataFrame) -> DataFrame:
+    """One row for each copy of a run-length coded timeline."""
+    last = F.col("copy") == F.col("copies")
+    return repeated(timeline, "copies", "copy").select(
+        "change_timestamp", F.when(last, F.col("end_timestamp")).otherwise(F.col("change_timestamp")).alias("end_timestamp"), *TOTALS
     )
 
 

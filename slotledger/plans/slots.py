@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotledger.functions import costs, ids
@@ -12,7 +12,7 @@ from slotledger.functions.times import checked_zone, iso_text, since, tumbling
 from slotledger.operators import quantiles
 from slotledger.params import PeakParams, SlotParams, UtilizationParams
 from slotledger.session import require_utc
-from slotledger.sources.tables import shape_reservations
+from slotledger.sources.tables import in_view, shape_reservations
 
 DAY_COLUMN = "period_date"
 SIZING_UNIT = 50
@@ -21,7 +21,7 @@ RESOLUTION_MS = {"MINUTE": 60000, "HOUR": 3600000, "DAY": 86400000}
 
 def _reserved(timeline: DataFrame, params: SlotParams) -> DataFrame:
     # scripts and other job types count here, unlike in utilisation
-    recent = since(timeline, "period_start", params.as_of, params.lookback_days, partition=DAY_COLUMN)
+    recent = since(in_view(timeline, params), "period_start", params.as_of, params.lookback_days, partition=DAY_COLUMN)
     return recent.filter(only.on_reservation())
 
 
@@ -69,27 +69,35 @@ def _rounded_sizes() -> list:
     return [to_nearest(size, SIZING_UNIT).alias(name) for name, size in sizes.items()]
 
 
-def slot_recommendations(timeline: DataFrame, params: SlotParams = SlotParams()) -> DataFrame:
-    """Baseline and maximum per reservation, to the nearest 50 slots."""
-    windows = windowed_usage(per_second_usage(timeline, params), ["reservation_id"], params)
-    res = F.col("reservation_id")
-    return windows.groupBy("reservation_id").agg(*_sizes(params)).select(
-        "reservation_id",
-        ids.admin_project(res).alias("admin_project_id"),
-        ids.clean_id(res).alias("clean_reservation_id"),
+def named_sizes(sizes: DataFrame, merged: Column) -> DataFrame:
+    """Sizes to the nearest 50 slots with the ids of reservations, or the name of all of them merged."""
+    res, name = F.col("reservation_id"), F.lit(costs.MERGED_NAME)
+    return sizes.select(
+        F.when(merged, name).otherwise(res).alias("reservation_id"),
+        F.when(~merged, ids.admin_project(res)).alias("admin_project_id"),
+        F.when(merged, name).otherwise(ids.clean_id(res)).alias("clean_reservation_id"),
         *_rounded_sizes(),
     )
 
 
+def sizes_by_reservation(per_second: DataFrame, params: SlotParams) -> DataFrame:
+    windows = windowed_usage(per_second, ["reservation_id"], params)
+    return named_sizes(windows.groupBy("reservation_id").agg(*_sizes(params)), F.lit(False))
+
+
+def size_of_all(per_second: DataFrame, params: SlotParams) -> DataFrame:
+    sizes = windowed_usage(merged_per_second(per_second), [], params).agg(*_sizes(params))
+    return named_sizes(sizes.withColumn("reservation_id", F.lit(None).cast("string")), F.lit(True))
+
+
+def slot_recommendations(timeline: DataFrame, params: SlotParams = SlotParams()) -> DataFrame:
+    """Baseline and maximum per reservation, to the nearest 50 slots."""
+    return sizes_by_reservation(per_second_usage(timeline, params), params)
+
+
 def merged_slot_recommendation(timeline: DataFrame, params: SlotParams = SlotParams()) -> DataFrame:
     """One row: the size of a single reservation that would carry all of the usage."""
-    seconds = merged_per_second(per_second_usage(timeline, params))
-    return windowed_usage(seconds, [], params).agg(*_sizes(params)).select(
-        F.lit(costs.MERGED_NAME).alias("reservation_id"),
-        F.lit(None).cast("string").alias("admin_project_id"),
-        F.lit(costs.MERGED_NAME).alias("clean_reservation_id"),
-        *_rounded_sizes(),
-    )
+    return size_of_all(per_second_usage(timeline, params), params)
 
 
 def all_slot_recommendations(timeline: DataFrame, params: SlotParams = SlotParams()) -> DataFrame:
@@ -121,28 +129,38 @@ def current_reservations(timeline: DataFrame, reservations: DataFrame, params: S
     )
 
 
+def _counted_buckets(rows: DataFrame, percents: dict[str, int]) -> DataFrame:
+    """Sums, maximum and exact ranks by bucket, all from one table of counted values."""
+    # the join below implies the filter; said here, it is the same in both uses of the counts
+    counts = quantiles.counted(
+        rows.filter(F.col("period_min").isNotNull()), "period_min", "period_slot_ms", {"billed": "total_bytes_billed", "processed": "total_bytes_processed"}
+    )
+    sums = counts.groupBy("period_min").agg(
+        F.sum(F.col("period_slot_ms") * quantiles.figure("n")).alias("slot_ms"), F.max("period_slot_ms").alias("max_ms"),
+        F.sum(quantiles.figure("billed")).alias("billed"), F.sum(quantiles.figure("processed")).alias("processed"),
+    )
+    return sums.join(quantiles.ranks(counts, "period_min", "period_slot_ms", percents), "period_min", "left")
+
+
 def utilization_buckets(timeline: DataFrame, params: UtilizationParams = UtilizationParams()) -> DataFrame:
     """Utilisation by UTC bucket. Maximum and percentiles are over single job-seconds, not over
     concurrent totals, and byte averages divide by 60 at every resolution."""
     require_utc(timeline.sparkSession)
     length_ms = RESOLUTION_MS[params.resolution]
-    recent = since(timeline, "period_start", params.as_of, params.lookback_days, partition=DAY_COLUMN)
+    recent = since(in_view(timeline, params), "period_start", params.as_of, params.lookback_days, partition=DAY_COLUMN)
     rows = recent.filter(only.is_query() & only.not_script()).select(
         F.date_trunc(params.resolution, "period_start").alias("period_min"),
         "period_slot_ms", "total_bytes_billed", "total_bytes_processed",
     )
-    sums = [
-        F.sum("period_slot_ms").alias("slot_ms"),
-        F.max("period_slot_ms").alias("max_ms"),
-        F.sum("total_bytes_billed").alias("billed"),
-        F.sum("total_bytes_processed").alias("processed"),
-    ]
     percents = {"p90_ms": 90, "p99_ms": 99}
     # two ways to the same columns: one bounded sketch, or exact ranks from counted values
     if params.exact:
-        ranks = quantiles.exact(rows, "period_min", "period_slot_ms", percents)
-        buckets = rows.groupBy("period_min").agg(*sums).join(ranks, "period_min", "left")
+        buckets = _counted_buckets(rows, percents)
     else:
+        sums = [
+            F.sum("period_slot_ms").alias("slot_ms"), F.max("period_slot_ms").alias("max_ms"),
+            F.sum("total_bytes_billed").alias("billed"), F.sum("total_bytes_processed").alias("processed"),
+        ]
         both = quantiles.sketch("period_slot_ms", list(percents.values()), params.accuracy).alias("ranks")
         buckets = rows.groupBy("period_min").agg(*sums, both).withColumns(
             {name: F.get("ranks", position) for position, name in enumerate(percents)}
@@ -184,10 +202,14 @@ def utilization_peak(utilization: DataFrame) -> DataFrame:
 
 def peak_slots(timeline: DataFrame, params: PeakParams = PeakParams()) -> DataFrame:
     """The busiest second over all jobs, and the maximum baseline it suggests."""
-    recent = since(timeline, "period_start", params.as_of, params.lookback_days, True, DAY_COLUMN)
+    recent = since(in_view(timeline, params), "period_start", params.as_of, params.lookback_days, True, DAY_COLUMN)
     per_second = recent.filter(only.is_query() & only.not_script()).groupBy("period_start").agg(
         F.sum("period_slot_ms").alias("slot_ms")
     )
+    return peak_of(per_second)
+
+
+def peak_of(per_second: DataFrame) -> DataFrame:
     return per_second.agg((costs.or_zero(F.max("slot_ms")) / 1000.0).alias("peak_slots")).withColumn(
         "suggested_max", costs.suggested_maximum(F.col("peak_slots"))
     )

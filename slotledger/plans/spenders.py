@@ -11,11 +11,12 @@ from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import since
 from slotledger.operators.topk import top_rows
 from slotledger.params import SpenderParams
+from slotledger.sources.tables import in_view
 
 
 def top_spenders(jobs: DataFrame, params: SpenderParams = SpenderParams()) -> DataFrame:
     """The users with most bytes billed. Scripts count, and so do jobs without a user."""
-    recent = since(jobs, "creation_time", params.as_of, params.lookback_days, partition="creation_date")
+    recent = since(in_view(jobs, params), "creation_time", params.as_of, params.lookback_days, partition="creation_date")
     users = (
         recent.filter(is_query())
         .groupBy("user_email")

@@ -9,19 +9,21 @@ from slotledger.functions import costs
 from slotledger.functions import predicates as only
 from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import hour_and_weekday, since, whole_milliseconds, whole_seconds
+from slotledger.operators import quantiles
 from slotledger.operators.grids import week_grid
-from slotledger.operators.quantiles import discrete_median
 from slotledger.operators.topk import top_rows
 from slotledger.params import TrickleParams
 from slotledger.session import require_utc
-from slotledger.sources.tables import shape_jobs
+from slotledger.sources.tables import VIEW, in_view, shape_jobs
+
+PROFILE_KEYS = ["hour_bucket", "reservation_id", "project_id"]
 
 
 def reserved_queries(jobs: DataFrame, params: TrickleParams = TrickleParams()) -> DataFrame:
     """Reserved queries of the look-back with their hour and run time."""
     require_utc(jobs.sparkSession)
     start, end = F.col("start_time"), F.col("end_time")
-    recent = since(shape_jobs(jobs), "creation_time", params.as_of, params.lookback_days, partition="creation_date")
+    recent = since(in_view(shape_jobs(jobs), params), "creation_time", params.as_of, params.lookback_days, partition="creation_date")
     return recent.filter(only.is_query() & only.not_script() & only.on_reservation()).withColumns({
         "hour_bucket": F.date_trunc("hour", "creation_time"),
         "run_ms": whole_milliseconds(start, end),
@@ -29,13 +31,47 @@ def reserved_queries(jobs: DataFrame, params: TrickleParams = TrickleParams()) -
     })
 
 
-def hourly_profile(queries: DataFrame) -> DataFrame:
-    """Count, mean slots and median run time by hour, reservation and project."""
-    return queries.groupBy("hour_bucket", "reservation_id", "project_id").agg(
-        F.count("*").alias("query_count"),
-        F.avg(F.col("total_slot_ms") / F.nullif(F.col("run_ms"), F.lit(0))).alias("avg_slots_per_query"),
-        discrete_median("run_seconds").alias("median_duration_seconds"),
+def counted_queries(queries: DataFrame, *more: str) -> DataFrame:
+    """Queries by hour, reservation, project, ``more`` and whole second of run time, with their figures.
+
+    Profile and query hashes both follow from this (``more`` being the hash), so the jobs are read and shuffled once. The
+    figures are an array of one struct: pruned apart, the two uses would be two scans again.
+    """
+    slots = F.col("total_slot_ms") / F.nullif(F.col("run_ms"), F.lit(0))
+    figures = F.struct(
+        F.count("*").alias("n"),
+        F.sum(slots).alias("slots"), F.count(slots).alias("slots_n"),
+        F.min(F.struct("job_id", "project_id", F.to_date("creation_time").alias("day"))).alias("example"),
+        F.sum("total_slot_ms").alias("slot_ms"), F.count("total_slot_ms").alias("slot_n"),
+        F.sum("total_bytes_processed").alias("bytes"), F.count("total_bytes_processed").alias("bytes_n"),
     )
+    return queries.groupBy(*PROFILE_KEYS, *more, "run_seconds").agg(F.array(figures).alias(quantiles.FIGURES))
+
+
+def profile_of(counted: DataFrame) -> DataFrame:
+    """Count, mean slots and median run time by hour, reservation and project.
+
+    The median is over whole seconds, of which a group has few, whatever the number of its queries.
+    """
+    figure = quantiles.figure
+    seconds = counted.groupBy(*PROFILE_KEYS, "run_seconds").agg(
+        F.sum(figure("n")).alias("n"), F.sum(figure("slots")).alias("slots"), F.sum(figure("slots_n")).alias("slots_n")
+    )
+    per_group = Window.partitionBy(*PROFILE_KEYS)
+    upto = per_group.orderBy("run_seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # queries without a run time have no part in the median, and come first
+    timed = F.when(F.col("run_seconds").isNotNull(), F.col("n"))
+    ranked = seconds.withColumns({"upto": F.sum(timed).over(upto), "all": F.sum(timed).over(per_group)})
+    return ranked.groupBy(*PROFILE_KEYS).agg(
+        F.sum("n").alias("query_count"),
+        F.try_divide(F.sum("slots"), F.sum("slots_n")).alias("avg_slots_per_query"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("run_seconds"))).alias("median_duration_seconds"),
+    )
+
+
+def hourly_profile(queries: DataFrame) -> DataFrame:
+    """The profile of queries; see :func:`profile_of`."""
+    return profile_of(counted_queries(queries))
 
 
 def _is_trickle(params: TrickleParams) -> Column:
@@ -124,15 +160,14 @@ def trickle_heatmap(flagged: DataFrame, params: TrickleParams = TrickleParams())
 
 
 def _most_frequent(jobs: DataFrame, params: TrickleParams) -> DataFrame:
-    queries = reserved_queries(jobs, params)
-    flagged = flagged_hours(hourly_profile(queries), params)
-    # jobs shrink to one row per hour, reservation and hash before they meet the flagged hours
-    by_hash = queries.groupBy("hour_bucket", "reservation_id", "query_hash").agg(
-        F.count("*").alias("n"),
-        F.min(F.struct("job_id", "project_id", F.to_date("creation_time").alias("day"))).alias("example"),
-        F.sum("total_slot_ms").alias("slot_ms"), F.count("total_slot_ms").alias("slot_n"),
-        F.sum("run_seconds").alias("seconds"), F.count("run_seconds").alias("seconds_n"),
-        F.sum("total_bytes_processed").alias("bytes"), F.count("total_bytes_processed").alias("bytes_n"),
+    counted = counted_queries(reserved_queries(jobs, params), "query_hash")
+    flagged = flagged_hours(profile_of(counted), params)
+    # one row per hour, reservation and hash meets the flagged hours
+    figure, timed = quantiles.figure, F.when(F.col("run_seconds").isNotNull(), quantiles.figure("n"))
+    by_hash = counted.groupBy("hour_bucket", "reservation_id", "query_hash").agg(
+        F.sum(figure("n")).alias("n"), F.min(figure("example")).alias("example"),
+        *[F.sum(figure(c)).alias(c) for c in ("slot_ms", "slot_n", "bytes", "bytes_n")],
+        F.sum(F.col("run_seconds") * figure("n")).alias("seconds"), F.coalesce(F.sum(timed), F.lit(0)).alias("seconds_n"),
     )
     frequent = (
         by_hash.join(flagged.select("hour_bucket", "reservation_id"), ["hour_bucket", "reservation_id"])
@@ -163,7 +198,11 @@ def trickle_top_queries(jobs: DataFrame, jobs_text: DataFrame, params: TricklePa
     top = _most_frequent(jobs, params)
     recent = since(jobs_text, "creation_time", params.as_of, params.lookback_days, partition="creation_date")
     created = "creation_date" if "creation_date" in recent.columns else F.to_date("creation_time").alias("creation_date")
-    texts = recent.select("project_id", F.col("job_id").alias("example_job_id"), created, "query")
+    # a project's own view holds the texts of its jobs
+    project = F.col(VIEW).alias("project_id") if VIEW in recent.columns else F.col("project_id")
+    if VIEW in recent.columns:
+        recent = recent.filter(F.col(VIEW) == F.col("project_id"))
+    texts = recent.select(project, F.col("job_id").alias("example_job_id"), created, "query")
     found = texts.join(top, ["project_id", "example_job_id", "creation_date"])
     keys = top.columns
     shown = (

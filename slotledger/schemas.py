@@ -52,8 +52,8 @@ RESERVATION_CHANGES = _table(
 )
 
 CAPACITY_COMMITMENT_CHANGES = _table(
-    ("change_timestamp", TS), ("capacity_commitment_id", S), ("action", S), ("state", S), ("edition", S),
-    ("slot_count", L),
+    ("change_timestamp", TS), ("project_id", S), ("capacity_commitment_id", S), ("action", S), ("state", S),
+    ("edition", S), ("slot_count", L),
 )
 
 ATTRIBUTION_CONFIG = _table(

@@ -1,8 +1,9 @@
 """Metadata tables: reading, shaping to the columns the analyses use, writing.
 
 Log tables are laid out in directories by the UTC day of their time column, so that a look-back
-reads only the days it needs. Where the reading account matters, a table also carries the
-project through which it was collected (``view_project``).
+reads only the days it needs. The same jobs and changes can be collected through several projects,
+each of which sees a part of them. Such a table holds all these views, in directories by the project
+that was asked (``view_project``); an analysis reads one of them, and each row once.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotledger import schemas
+from slotledger.params import Scoped
 from slotledger.session import require_utc
 
+VIEW = "view_project"
+
 # Time column and day-partition column of each log table
 DAY_PARTITIONS = {
     "jobs": ("creation_time", "creation_date"),
@@ -22,24 +26,33 @@ DAY_PARTITIONS = {
 }
 
 
-def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Read ``root/name`` with its declared schema and, for logs, its day partition."""
-    schema = schemas.TABLES[name]
+def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet", views: bool = False) -> DataFrame:
+    """Read ``root/name`` with its declared schema and, for logs, its day partition.
+
+    ``views`` tells that the table holds several views and is divided by their project.
+    """
+    schema = T.StructType([*schemas.TABLES[name].fields])
+    if views:
+        schema = schema.add(VIEW, T.StringType())
     if name in DAY_PARTITIONS:
-        schema = T.StructType([*schema.fields, T.StructField(DAY_PARTITIONS[name][1], T.DateType())])
+        schema = schema.add(DAY_PARTITIONS[name][1], T.DateType())
     return spark.read.schema(schema).format(fmt).load(f"{root}/{name}")
 
 
 def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", mode: str = "error") -> None:
-    """Write a metadata table; logs are split by UTC day and sorted by time."""
+    """Write a metadata table; one with several views is split by their project, and logs by UTC day.
+
+    Logs are sorted by time. Ranges of equal size, so that a busy day or a large view is written by
+    many tasks.
+    """
     require_utc(df.sparkSession)
+    parts, order = ([VIEW], [VIEW]) if VIEW in df.columns else ([], [])
     if name in DAY_PARTITIONS:
         ts, part = DAY_PARTITIONS[name]
-        # ranges of equal size, so that a busy day is written by many tasks
-        df = df.withColumn(part, F.to_date(ts)).repartitionByRange(ts)
-        df.sortWithinPartitions(ts).write.mode(mode).format(fmt).partitionBy(part).save(f"{root}/{name}")
-    else:
-        df.write.mode(mode).format(fmt).save(f"{root}/{name}")
+        df, parts, order = df.withColumn(part, F.to_date(ts)), [*parts, part], [*order, ts]
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.write.mode(mode).format(fmt).partitionBy(*parts).save(f"{root}/{name}")
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
@@ -60,6 +73,34 @@ def chosen_scope(admin_project: str | None, org_project: str | None) -> str | No
     return None
 
 
+def in_view(df: DataFrame, params: Scoped) -> DataFrame:
+    """The rows of the chosen view, where ``df`` holds several; each row once.
+
+    The project is resolved here, so the filter reaches the directories. Without an admin project or
+    an organisation's, the account's own project is asked, and answers with its own rows.
+    """
+    if VIEW not in df.columns:
+        return df
+    project = chosen_scope(params.admin_project_id, params.org_project_id)
+    if project is not None:
+        return df.filter(F.col(VIEW) == project).drop(VIEW)
+    home = chosen_scope(params.home_project_id, None)
+    if home is None:
+        raise ValueError(f"the table holds several views ({VIEW}); name the project whose view is meant")
+    own = df.filter(F.col(VIEW) == home).drop(VIEW)
+    return own.filter(F.col("project_id") == home) if "project_id" in own.columns else own
+
+
+def in_admin_project(df: DataFrame, params: Scoped) -> DataFrame:
+    """Changes of one admin project: its view, or its own entries in a log of several projects.
+
+    Without a project and without views, entries of all projects are of one organisation's log.
+    """
+    if VIEW in df.columns:
+        return in_view(df, params)
+    return in_scope(df, chosen_scope(params.admin_project_id, params.org_project_id))
+
+
 def in_scope(df: DataFrame, scope: str | None, column: str = "project_id") -> DataFrame:
     """Rows of one scope, or every row when there is none."""
     return df if scope is None else df.filter(F.col(column) == scope)

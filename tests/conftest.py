@@ -31,8 +31,7 @@ def inputs(spark):
 @pytest.fixture(scope="session")
 def stored(spark, tmp_path_factory):
     """The derived tables as files, logs split by day."""
-    from checks.inputs import Inputs, StoredInputs, store
+    from checks.inputs import TEXTS, Inputs, store
 
     root = str(tmp_path_factory.mktemp("stored"))
-    store(Inputs(spark, SF_DIR), root)
-    return StoredInputs(spark, root)
+    return store(Inputs(spark, SF_DIR), root, [n for n in TEXTS if n not in ("jobs_base", "jobs_crowded")])

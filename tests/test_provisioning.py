@@ -4,7 +4,8 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from slotledger.operators.blocks import asof_backward, lag_row, running_steps
+from slotledger.operators.blocks import BLOCK, asof_backward, in_blocks, lag_row, running_steps
+from slotledger.operators.grids import repeated
 from slotledger.params import ProvisioningParams, UtilizationParams
 from slotledger.plans import provisioning
 from tests.rows import AS_OF, at, changes, commitments, dicts, one, seconds
@@ -14,6 +15,7 @@ PARAMS = ProvisioningParams(as_of=AS_OF, lookback_days=1)
 
 def timeline(spark, log, committed=(), params=PARAMS):
     found = provisioning.provisioning_timeline(changes(spark, *log), commitments(spark, *committed), params)
+    found = provisioning.repeated_timeline(found)
     return [
         (f"{r['change_timestamp']:%d %H:%M:%S}", f"{r['end_timestamp']:%d %H:%M:%S}",
          r["current_slots"], r["baseline_slots"], r["capacity_slots"])
@@ -116,7 +118,7 @@ def test_only_active_commitments_count(spark):
     assert one(provisioning.commitment_deltas(pending, PARAMS))["capacity_delta"] == 30
 
 
-def test_long_logs_over_many_blocks(spark):
+def test_long_logs_over_many_blocks(spark, many_blocks):
     """Levels of several reservations, replayed in order, against the timeline."""
     rng = random.Random(9)
     log, now = [], at("2023-12-30 00:00:00")
@@ -160,7 +162,7 @@ def random_times(rng, n, spread=40 * 3600):
     return [at("2024-01-01 00:00:00") + timedelta(seconds=rng.randrange(spread)) for _ in range(n)]
 
 
-def test_asof_matches_brute_force(spark):
+def test_asof_matches_brute_force(spark, many_blocks):
     rng = random.Random(4)
     left = [(n, rng.choice(["a", "b", "c", None]), t) for n, t in enumerate(random_times(rng, 300))]
     right = [(rng.choice(["a", "b", None]), t, n) for n, t in enumerate(random_times(rng, 60))]
@@ -178,7 +180,7 @@ def test_asof_matches_brute_force(spark):
         assert got[key] == (max(seen)[1] if seen else None)
 
 
-def test_lag_matches_brute_force(spark):
+def test_lag_matches_brute_force(spark, many_blocks):
     rng = random.Random(6)
     rows = [(n, rng.choice(["hot", "hot", "x", None]), t) for n, t in enumerate(random_times(rng, 300, 10 * 86400))]
     df = spark.createDataFrame(rows, "id int, k string, t timestamp")
@@ -188,7 +190,7 @@ def test_lag_matches_brute_force(spark):
         assert got[key] == (max(earlier)[1] if earlier else None)
 
 
-def test_running_steps_match_brute_force(spark):
+def test_running_steps_match_brute_force(spark, many_blocks):
     rng = random.Random(8)
     stamps = sorted(set(random_times(rng, 200)))
     rows = [(t, rng.randrange(-5, 9)) for t in stamps]
@@ -200,3 +202,97 @@ def test_running_steps_match_brute_force(spark):
         assert (row["later"] is None) == (n == len(rows) - 1)
         if row["later"] is not None:
             assert row["later"] == got[n + 1]["t"]
+
+
+def crowd(spark, n):
+    """Logs with n creations each at one instant."""
+    name = F.concat(F.lit("r"), F.col("id").cast("string"))
+    reservation = changes(spark, ("2024-01-03 06:00:00", "CREATE", 2, 3)).drop("reservation_name")
+    commitment = commitments(spark, ("2024-01-03 06:00:00", "CREATE", 1)).drop("capacity_commitment_id")
+    ids = spark.range(n)
+    return (
+        ids.join(reservation).select(*reservation.columns, name.alias("reservation_name")),
+        ids.join(commitment).select(*commitment.columns, name.alias("capacity_commitment_id")),
+    )
+
+
+def test_entries_at_one_instant_are_run_lengths(spark):
+    """50,000 reservations and as many commitments at one time make 2.5 thousand million entries of the joined logs."""
+    logs = crowd(spark, 50_000)
+    rows = provisioning.provisioning_timeline(*logs, PARAMS).orderBy("change_timestamp").collect()
+    assert [r.copies for r in rows] == [1, 50_000 * 50_000, 1]
+    assert tuple(rows[1])[2:5] == (100_000, 150_000, 50_000)
+    found = one(provisioning.provisioned_slot_hours(provisioning.provisioning_steps(*logs, PARAMS)))
+    assert found["autoscaled_slot_hours"] == 100_000 * 18 and found["baseline_slot_hours"] == 100_000 * 18
+
+
+def test_repeated_rows_come_in_chunks(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 25), ("d", 10), ("e", 11)], "k string, n long")
+    rows = sorted(tuple(r) for r in repeated(df, "n", "copy", chunk=10).select("k", "copy").collect())
+    assert rows == sorted((k, c) for k, n in (("a", 1), ("c", 25), ("d", 10), ("e", 11)) for c in range(1, n + 1))
+    big = spark.createDataFrame([("x", 3_000_000)], "k string, n long")
+    assert repeated(big, "n", "copy").agg(F.count("*"), F.min("copy"), F.max("copy")).first()[:] == (3_000_000, 1, 3_000_000)
+
+
+def crowded_log(spark, n):
+    """Nine tenths of a log in one hour of one key, the rest over ten days and keys."""
+    hot, second = F.col("id") % 10 < 9, F.col("id") * 7919 % 3600
+    start = F.lit(1704067200)
+    return spark.range(n).select(
+        F.col("id").alias("id"), F.when(hot, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 31)).alias("k"),
+        F.timestamp_seconds(F.when(hot, start + second).otherwise(start + F.col("id") * 104729 % 864000)).alias("t"),
+    )
+
+
+@pytest.fixture
+def many_blocks(spark):
+    """Small tables are one block otherwise."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("order", [["k", "t", "id"], ["t", "id"]])
+def test_no_block_has_more_than_twice_its_share(spark, many_blocks, order):
+    blocks = in_blocks(crowded_log(spark, 200_000), order)
+    sizes = [r["count"] for r in blocks.groupBy(F.spark_partition_id().alias("task"), BLOCK).count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) == 8
+    assert max(sizes) <= 2 * 200_000 / 8
+    # a block is one task, and blocks follow each other in the order
+    assert blocks.select(F.spark_partition_id().alias("task"), BLOCK).distinct().count() == 8
+    ends = blocks.groupBy(BLOCK).agg(F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high")).orderBy(BLOCK).collect()
+    assert all(a.high < b.low for a, b in zip(ends, ends[1:]))
+
+
+def test_crowded_log_in_order(spark, many_blocks):
+    log = crowded_log(spark, 4000)
+    rows = sorted((r.k, r.t, r.id) for r in log.collect())
+    before = {row[2]: (rows[n - 1][2] if n and rows[n - 1][0] == row[0] else None) for n, row in enumerate(rows)}
+    got = lag_row(log, ["k"], ["t", "id"], ["id"], "before").collect()
+    assert {r.id: r.before and r.before["id"] for r in got} == before
+    changes_seen = log.where("id % 50 = 3").select("k", F.col("t").alias("at"), F.col("id").alias("v"))
+    seen = asof_backward(log, changes_seen, "t", "at", ["v"], by=["k"], sequence=["v"]).collect()
+    for r in seen:
+        earlier = [(t, v) for k, t, v in rows if v % 50 == 3 and k == r.k and t <= r.t]
+        assert r.v == (max(earlier)[1] if earlier else None)
+    points = log.groupBy("t").agg(F.count("*").alias("n"))
+    total = 0
+    steps = running_steps(points, "t", ["n"], "later").orderBy("t").collect()
+    counts = {}
+    for _, t, _ in rows:
+        counts[t] = counts.get(t, 0) + 1
+    for row, later in zip(steps, [*steps[1:], None]):
+        total += counts[row.t]
+        assert (row.n, row.later) == (total, later and later.t)
+
+
+def test_logs_of_several_admin_projects(spark):
+    log = changes(spark, ("2024-01-03 01:00:00", "CREATE", 10, 0)).unionByName(
+        changes(spark, ("2024-01-03 02:00:00", "CREATE", 5, 0)).withColumn("project_id", F.lit("other"))
+    )
+    both = provisioning.reservation_deltas(log, PARAMS)
+    assert sorted(r["current_delta"] for r in dicts(both)) == [5, 10]
+    named = ProvisioningParams(as_of=AS_OF, lookback_days=1, admin_project_id="other", org_project_id="adm")
+    assert one(provisioning.reservation_deltas(log, named))["current_delta"] == 5
+    fallback = ProvisioningParams(as_of=AS_OF, lookback_days=1, admin_project_id="", org_project_id="adm")
+    assert one(provisioning.reservation_deltas(log, fallback))["current_delta"] == 10

@@ -107,3 +107,41 @@ def test_every_plan_refuses_a_session_that_is_not_utc(spark, inputs, tmp_path):
                 pytest.fail(name)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def viewed(spark):
+    """Two jobs, which overlapping views show: the organisation's both, two projects' one each."""
+    jobs = rows.jobs(spark, dict(job_id="a", project_id="p1", user_email="x"), dict(job_id="b", project_id="p2", user_email="y"))
+    seen = {"org": ["a", "b"], "p1": ["a", "b"], "p2": ["b"]}
+    views = [jobs.where(F.col("job_id").isin(ids)).withColumn("view_project", F.lit(view)) for view, ids in seen.items()]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+@pytest.mark.parametrize("scope, expected", [
+    (dict(admin_project_id="p2", org_project_id="org"), {"b"}),
+    (dict(admin_project_id=" ", org_project_id="org"), {"a", "b"}),
+    (dict(admin_project_id="p1"), {"a", "b"}),
+    (dict(home_project_id="p1"), {"a"}),
+    (dict(org_project_id="absent"), set()),
+])
+def test_one_view_of_several_is_read(spark, tmp_path, scope, expected):
+    tables.write_table(viewed(spark), str(tmp_path), "jobs")
+    assert sorted(p.name for p in (tmp_path / "jobs").glob("view_project=*")) == ["view_project=org", "view_project=p1", "view_project=p2"]
+    back = tables.read_table(spark, str(tmp_path), "jobs", views=True)
+    for table in (viewed(spark), back):
+        found = tables.in_view(table, JobCostParams(**scope))
+        assert sorted(r["job_id"] for r in dicts(found)) == sorted(expected) and "view_project" not in found.columns
+        costs = job_plans.job_costs(table, JobCostParams(as_of=AS_OF, **scope))
+        assert sorted(r["job_id"] for r in dicts(costs)) == sorted(expected)
+
+
+def test_several_views_without_a_project_are_refused(spark):
+    with pytest.raises(ValueError, match="name the project"):
+        tables.in_view(viewed(spark), JobCostParams())
+    with pytest.raises(ValueError, match="view_project"):
+        spenders.top_spenders(viewed(spark))
+
+
+def test_a_table_of_one_view_needs_no_project(spark):
+    plain = rows.jobs(spark, {}, {})
+    assert tables.in_view(plain, JobCostParams(admin_project_id="other")).count() == 2
