@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, CARRY, KEY = "_block", "_carry", "_key"
+BLOCK, CARRY, KEY, BUNDLE = "_block", "_carry", "_key", "_bundle"
 
 
 def in_blocks(df: DataFrame, order: list[str]) -> DataFrame:
@@ -26,15 +26,18 @@ def in_blocks(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.repartitionById(_partitions(df), BLOCK)
 
 
-def block_figures(blocks: DataFrame, *figures: Column) -> DataFrame:
-    """``(_block, _figures)``: one row for each block, with aggregates of its rows as one struct.
+def bundled(df: DataFrame, apart: list[str]) -> DataFrame:
+    """``df`` with all columns but ``apart`` in one, an array of one struct; see :func:`unbundled`.
 
-    The struct passes through an array together with a value of every column: pruned to the
-    columns that it needs, this use of the blocks would be another scan and shuffle.
+    The rows of blocks are used twice, for the blocks' ends and for themselves. If a use needs fewer
+    columns, or one leaves out what the other keeps, they are pruned apart and scan and shuffle twice.
     """
-    every = F.any_value(F.struct(*[c for c in blocks.columns if c != BLOCK])).alias("every")
-    held = blocks.groupBy(BLOCK).agg(F.array(F.struct(*figures, every)).alias("_array"))
-    return held.select(BLOCK, F.element_at("_array", 1).alias("_figures"))
+    rest = [c for c in df.columns if c not in apart]
+    return df.select(*apart, F.array(F.struct(*rest)).alias(BUNDLE)) if rest else df
+
+
+def unbundled(name: str) -> Column:
+    return F.element_at(BUNDLE, 1)[name]
 
 
 def _partitions(df: DataFrame) -> int:
@@ -50,45 +53,48 @@ def _same(pairs: list[tuple[Column, Column]]) -> Column:
 def lag_row(df: DataFrame, keys: list[str], order: list[str], carried: list[str], into: str) -> DataFrame:
     """The previous row of each key as struct ``into``, NULL on the first.
 
-    Rows without ``order[0]`` are left out. The last row of each block is handed to the next one. Leave
-    only columns in ``df`` that are used later: the two uses of the rows then share one scan and shuffle.
+    Rows without ``order[0]`` are left out. The last row of each block is handed to the next one.
     """
     sort, held = [*keys, *order], list(dict.fromkeys([*keys, *carried]))
-    rows = in_blocks(df.filter(F.col(order[0]).isNotNull()), sort)
+    apart = list(dict.fromkeys([*sort, *carried]))
+    rows = in_blocks(bundled(df.filter(F.col(order[0]).isNotNull()), apart), sort)
     inside = Window.partitionBy(BLOCK).orderBy(*sort)
-    last = F.max_by(F.struct(*held), F.struct(*sort)).alias("last")
-    handed = block_figures(rows, last).select(BLOCK, F.lag(F.col("_figures")["last"]).over(Window.orderBy(BLOCK)).alias(CARRY))
+    ends = rows.groupBy(BLOCK).agg(F.max_by(F.struct(*[c for c in rows.columns if c != BLOCK]), F.struct(*sort)).alias("_end"))
+    handed = ends.select(BLOCK, F.lag("_end").over(Window.orderBy(BLOCK)).alias("_end"))
+    handed = handed.select(BLOCK, F.struct(*[F.col("_end")[c].alias(c) for c in held]).alias(CARRY), F.col("_end").isNotNull().alias("_handed"))
     # column by column: a struct would be built below the shuffle and make it another one
     lagged = rows.withColumns({"_has": F.lag(F.lit(True)).over(inside), **{f"_lag_{c}": F.lag(c).over(inside) for c in held}})
     within = F.when(_same([(F.col(f"_lag_{k}"), F.col(k)) for k in keys]), F.struct(*[F.col(f"_lag_{c}").alias(c) for c in carried]))
     carry = F.col(CARRY)
     across = F.when(
-        carry.isNotNull() & _same([(carry[k], F.col(k)) for k in keys]), F.struct(*[carry[c].alias(c) for c in carried])
+        F.col("_handed") & _same([(carry[k], F.col(k)) for k in keys]), F.struct(*[carry[c].alias(c) for c in carried])
     )
     # one row for each block, of which there are no more than shuffle partitions
     return lagged.join(F.broadcast(handed), BLOCK).select(
-        *df.columns, F.when(F.col("_has"), within).otherwise(across).alias(into)
+        *[c if c in apart else unbundled(c).alias(c) for c in df.columns],
+        F.when(F.col("_has"), within).otherwise(across).alias(into),
     )
 
 
 def running_steps(points: DataFrame, ts: str, totals: list[str], following: str) -> DataFrame:
     """Running totals over unique timestamps, and the next timestamp as ``following``."""
-    rows = in_blocks(points, [ts])
+    rows = in_blocks(bundled(points, [ts]), [ts])
     inside = Window.partitionBy(BLOCK).orderBy(ts)
-    ends = block_figures(rows, F.min(ts).alias("first"), *[F.sum(t).alias(f"sum_{t}") for t in totals])
     along = Window.orderBy(BLOCK)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    figures = F.col("_figures")
+    ends = rows.groupBy(BLOCK).agg(F.min(ts).alias("_first"), *[F.sum(unbundled(t)).alias(f"_sum_{t}") for t in totals])
     offsets = ends.select(
-        BLOCK, F.lead(figures["first"]).over(along).alias("_next_block"),
-        *[F.coalesce(F.sum(figures[f"sum_{t}"]).over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
+        BLOCK, F.lead("_first").over(along).alias("_next_block"),
+        *[F.coalesce(F.sum(f"_sum_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
     )
-    running = rows.withColumns({following: F.lead(ts).over(inside), **{t: F.sum(t).over(inside) for t in totals}})
-    return (
-        running.join(F.broadcast(offsets), BLOCK)
-        .withColumns({following: F.coalesce(following, "_next_block"), **{t: F.col(t) + F.col(f"_off_{t}") for t in totals}})
-        .select(*points.columns, following)
+    running = {t: F.sum(unbundled(t)).over(inside) + F.col(f"_off_{t}") for t in totals}
+    others = [c for c in points.columns if c not in (ts, *totals)]
+    found = rows.withColumn(following, F.lead(ts).over(inside)).join(F.broadcast(offsets), BLOCK)
+    found = found.select(
+        ts, F.coalesce(following, "_next_block").alias(following), *[unbundled(c).alias(c) for c in others],
+        *[total.alias(t) for t, total in running.items()],
     )
+    return found.select(*points.columns, following)
 
 
 def asof_backward(
@@ -120,8 +126,9 @@ def asof_backward(
     rows = in_blocks(right_rows.unionByName(left_rows, allowMissingColumns=True), sort)
     upto = Window.partitionBy(BLOCK, KEY).orderBy(*sort[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("_seen", F.last("_value", ignorenulls=True).over(upto))
-    last = F.max_by(F.struct(KEY, "_seen"), F.struct(*sort)).alias("last")
-    ends = block_figures(seen, last).select(BLOCK, F.col("_figures")["last"].alias("_last"))
+    # the left row goes along because, pruned away, it would make this another shuffle
+    last = F.max_by(F.struct(KEY, "_seen", "_row"), F.struct(*sort))
+    ends = seen.groupBy(BLOCK).agg(last.alias("_last"))
     of_key = Window.partitionBy(f"_last.{KEY}").orderBy(BLOCK)
     ends = ends.select(BLOCK, F.col(f"_last.{KEY}").alias("key"), F.last("_last._seen", ignorenulls=True).over(of_key).alias("value"))
     handed = ends.select(BLOCK, F.lag(F.struct("key", "value")).over(Window.orderBy(BLOCK)).alias(CARRY))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotledger.operators.blocks import BLOCK, block_figures, in_blocks
+from slotledger.operators.blocks import BLOCK, BUNDLE, bundled, in_blocks, unbundled
 
 #: Up to so many rows one task merges what every task has kept.
 MERGED_ROWS = 100_000
@@ -45,10 +45,12 @@ def most(df: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
         {"_null": F.col(by).isNull(), "_down": -F.col(by).cast("decimal(38,0)")}
     )
     sort = ["_null", "_down", *ties]
-    blocks = in_blocks(last, sort)
-    counts = block_figures(blocks, F.count("*").alias("rows"))
-    before = F.sum(counts["_figures"]["rows"]).over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    last = last.select("_above", *sort, *[c for c in df.columns if c not in ties])
+    blocks = in_blocks(bundled(last, sort), sort)
+    counts = blocks.groupBy(BLOCK).agg(F.count("*").alias("_rows"), F.any_value(BUNDLE).alias("_any"))
+    before = F.sum("_rows").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(BLOCK, F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*sort)) + F.col("_above")
+    rank = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*sort)) + unbundled("_above")
     ranked = blocks.withColumn("_rank", rank).join(F.broadcast(starts), BLOCK)
-    return whole.unionByName(ranked.filter(F.col("_rank") + F.col("_before") <= n).select(*df.columns))
+    kept = ranked.filter(F.col("_rank") + F.col("_before") <= n)
+    return whole.unionByName(kept.select(*[c if c in ties else unbundled(c).alias(c) for c in df.columns]))

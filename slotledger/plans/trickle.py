@@ -31,13 +31,17 @@ def reserved_queries(jobs: DataFrame, params: TrickleParams = TrickleParams()) -
     })
 
 
-def counted_queries(queries: DataFrame, *more: str) -> DataFrame:
-    """Queries by hour, reservation, project, ``more`` and whole second of run time, with their figures.
+def _mean_slots() -> Column:
+    return F.col("total_slot_ms") / F.nullif(F.col("run_ms"), F.lit(0))
 
-    Profile and query hashes both follow from this (``more`` being the hash), so the jobs are read and shuffled once. The
+
+def counted_queries(queries: DataFrame) -> DataFrame:
+    """Queries by hour, reservation, project, hash and whole second of run time, with their figures.
+
+    Profile and query hashes both follow from this, so the jobs are read and shuffled once. The
     figures are an array of one struct: pruned apart, the two uses would be two scans again.
     """
-    slots = F.col("total_slot_ms") / F.nullif(F.col("run_ms"), F.lit(0))
+    slots = _mean_slots()
     figures = F.struct(
         F.count("*").alias("n"),
         F.sum(slots).alias("slots"), F.count(slots).alias("slots_n"),
@@ -45,7 +49,7 @@ def counted_queries(queries: DataFrame, *more: str) -> DataFrame:
         F.sum("total_slot_ms").alias("slot_ms"), F.count("total_slot_ms").alias("slot_n"),
         F.sum("total_bytes_processed").alias("bytes"), F.count("total_bytes_processed").alias("bytes_n"),
     )
-    return queries.groupBy(*PROFILE_KEYS, *more, "run_seconds").agg(F.array(figures).alias(quantiles.FIGURES))
+    return queries.groupBy(*PROFILE_KEYS, "query_hash", "run_seconds").agg(F.array(figures).alias(quantiles.FIGURES))
 
 
 def profile_of(counted: DataFrame) -> DataFrame:
@@ -70,8 +74,11 @@ def profile_of(counted: DataFrame) -> DataFrame:
 
 
 def hourly_profile(queries: DataFrame) -> DataFrame:
-    """The profile of queries; see :func:`profile_of`."""
-    return profile_of(counted_queries(queries))
+    """The same, from the queries themselves, for those who need nothing else of them."""
+    return queries.groupBy(*PROFILE_KEYS).agg(
+        F.count("*").alias("query_count"), F.avg(_mean_slots()).alias("avg_slots_per_query"),
+        quantiles.discrete_median("run_seconds").alias("median_duration_seconds"),
+    )
 
 
 def _is_trickle(params: TrickleParams) -> Column:
@@ -160,7 +167,7 @@ def trickle_heatmap(flagged: DataFrame, params: TrickleParams = TrickleParams())
 
 
 def _most_frequent(jobs: DataFrame, params: TrickleParams) -> DataFrame:
-    counted = counted_queries(reserved_queries(jobs, params), "query_hash")
+    counted = counted_queries(reserved_queries(jobs, params))
     flagged = flagged_hours(profile_of(counted), params)
     # one row per hour, reservation and hash meets the flagged hours
     figure, timed = quantiles.figure, F.when(F.col("run_seconds").isNotNull(), quantiles.figure("n"))
