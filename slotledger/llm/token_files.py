@@ -41,7 +41,7 @@ def encoded(documents: DataFrame, model_path: str, params: TokenFileParams = Tok
         part_id, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets = encoder.encode(part.column("text").to_pylist(), params.end_id)
+                ids, offsets = encoder.encode(part.column("text"), params.end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(part.num_rows, part_id, np.int32)), part.column("doc_id"),
@@ -53,7 +53,9 @@ def encoded(documents: DataFrame, model_path: str, params: TokenFileParams = Tok
                 start += int(offsets[-1])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(work, SCHEMA)
+    # rows that repeat a doc_id have an order too, in which many of them can be dealt to several files
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    return docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(work, SCHEMA)
 
 
 def write_tokens(
@@ -62,7 +64,7 @@ def write_tokens(
     """Encode every whole text and write the files at ``path``.
 
     A null or empty text has the end id alone. A null doc_id comes first; rows that repeat a doc_id
-    follow each other in any order. Other columns are not read. An empty table gives a file
+    follow each other in an order of their texts. Other columns are not read. An empty table gives a file
     without rows.
     """
     writer = encoded(documents, model_path, params).write
