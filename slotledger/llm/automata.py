@@ -28,12 +28,14 @@ CLASSES, N_CLASSES = symbol_classes()
 class Automaton:
     """``move[state, symbol]`` is the next state, ``cost`` its negative log chance, ``end`` that of ending.
 
-    A move never seen leads back to the first state at the cost of its smoothed chance.
+    A move never seen leads back to the first state at the cost of its smoothed chance. ``prior`` is the
+    log of how many strings of this kind there are, of which the examples may be a sample.
     """
 
     move: np.ndarray
     cost: np.ndarray
     end: np.ndarray
+    prior: float = 0.0
 
     def costs(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The negative log likelihood of each string, all strings a symbol at a time."""
@@ -55,8 +57,14 @@ class _State:
     next: dict[int, int] = field(default_factory=dict)
 
 
-def learn(examples: list[list[int]], alpha: float = 0.01, least: int = 8) -> Automaton:
-    """An automaton for ``examples`` of symbol classes; states seen fewer than ``least`` times always fit."""
+def learn(
+    examples: list[list[int]], alpha: float = 0.01, least: int = 8, weights: list[float] | None = None
+) -> Automaton:
+    """An automaton for ``examples`` of symbol classes; states seen fewer than ``least`` times always fit.
+
+    States are merged by the examples as they are. ``weights`` tell for how many strings each stands,
+    which the chances of moves and the prior follow.
+    """
     states = [_State()]
     for example in examples:
         at = 0
@@ -120,17 +128,17 @@ def learn(examples: list[list[int]], alpha: float = 0.01, least: int = 8) -> Aut
     for x, k in number.items():
         for symbol, y in states[x].next.items():
             move[k, symbol] = number[y]
-    return _counted(examples, move)
+    return _counted(examples, move, weights or [1.0] * len(examples))
 
 
-def _counted(examples: list[list[int]], move: np.ndarray) -> Automaton:
+def _counted(examples: list[list[int]], move: np.ndarray, weights: list[float]) -> Automaton:
     """Chances of moves and ends, from running the examples through the merged automaton."""
     counts, ends = np.full(move.shape, 0.1), np.full(len(move), 0.1)
-    for example in examples:
+    for example, weight in zip(examples, weights, strict=True):
         at = 0
         for symbol in example:
-            counts[at, symbol] += 1
+            counts[at, symbol] += weight
             at = move[at, symbol]
-        ends[at] += 1
+        ends[at] += weight
     total = counts.sum(axis=1) + ends
-    return Automaton(move, -np.log(counts / total[:, None]), -np.log(ends / total))
+    return Automaton(move, -np.log(counts / total[:, None]), -np.log(ends / total), log(max(sum(weights), 1.0)))

@@ -1,22 +1,26 @@
 """Secrets in texts: fixed patterns, and tokens that have the format of known credentials.
 
 The patterns (``assign``, ``access``, ``hex``) give the base spans. Their values are the labelled
-credentials: for each kind an automaton is learned from a bounded sample of distinct values, and
-one more from other tokens. Then every token of at least ``shortest`` credential characters, the
-least length of a labelled value, and what base spans leave of a longer token, is scored by every
-automaton; it is a further span, of the kind ``format``, if its log likelihood under the best credential automaton is above that under the
-other one by ``margin`` for each character.
+credentials: for each kind an automaton is learned from distinct values, and one more from other
+tokens. Of very many values a sample is learned from, taken in turn from every format, a format being
+a length and the classes of characters that occur; each sampled value stands for its share of the
+format, and all values count for how frequent a kind is. Then every token of at least ``shortest``
+credential characters, the least length of a labelled value, and what base spans leave of a longer
+token, is scored by every automaton. It is a further span, of the kind ``format``, if by its likelihood
+and by how many values there are of each kind it is a credential rather than another token, by odds of
+``margin`` for the whole token: so what ordinary words may be by chance is not taken for a secret.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotledger.llm.arrays import slices, text_buffer
@@ -39,11 +43,11 @@ _CREDENTIAL[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 
 @dataclass(frozen=True)
 class SecretParams:
-    """``sample``: distinct values of a kind that are learned from. ``margin``: in nats for each character."""
+    """``sample``: distinct values of a kind that are learned from. ``margin``: log odds of a token, in nats."""
 
     sample: int = 1_500
     shortest: int = LEAST_ASSIGN
-    margin: float = 0.25
+    margin: float = 7.0
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +104,17 @@ class Scanned:
         return runs(data, self.offsets, _CREDENTIAL, least)
 
 
-def credentials(documents: DataFrame, params: SecretParams = SecretParams()) -> dict[str, list[str]]:
-    """Distinct values of each kind and of ``other`` tokens, at most ``sample`` of each, by smallest hash.
+def _format(value: bytes) -> int:
+    """The length of a value, up to 255, and the classes of characters that are in it, as one number."""
+    classes = int(np.bitwise_or.reduce(1 << CLASSES[np.frombuffer(value, np.uint8)]))
+    return min(len(value), 255) << 12 | classes
 
-    Of ``other`` tokens as many with a digit, and as many without.
+
+def credentials(documents: DataFrame, params: SecretParams = SecretParams()) -> dict[str, list[tuple[str, float]]]:
+    """Distinct values of each kind and of ``other`` tokens, at most ``sample`` of each, and what each stands for.
+
+    Values are taken from all formats in turn, in each by smallest hash, so that a rare format is among
+    them however many values there are. Of ``other`` tokens there are as many with a digit, and without.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,24 +129,39 @@ def credentials(documents: DataFrame, params: SecretParams = SecretParams()) ->
                 found = {whole[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)}
                 values |= {(4 if v.translate(None, b"0123456789") == v else 3, v) for v in found}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in values], pa.int32()), pa.array([v.decode() for _, v in values], pa.string())], ["kind", "value"]
+                    [
+                        pa.array([k for k, _ in values], pa.int32()), pa.array([v.decode() for _, v in values], pa.string()),
+                        pa.array([_format(v) for _, v in values], pa.int32()),
+                    ],
+                    ["kind", "value", "format"],
                 )
 
     texts = documents.select(F.col("text").cast("string").alias("text"))
-    found = written(texts.mapInArrow(work, "kind int, value string").distinct(), "secret-values")
-    out: dict[str, list[str]] = {}
+    found = written(texts.mapInArrow(work, "kind int, value string, format int").distinct(), "secret-values")
+    # the limit on the rank holds in each task before the shuffle, so no format is gathered
+    by_hash = Window.partitionBy("kind", "format").orderBy(F.xxhash64("value"), "value")
+    ranked = found.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= params.sample)
+    ranked = written(ranked, "secret-samples")
+    # one row for each format of a kind: lengths up to 255, and sets of 11 classes
+    sizes = {(r.kind, r.format): r["count"] for r in found.groupBy("kind", "format").count().collect()}
+    out: dict[str, list[tuple[str, float]]] = {}
     for k, kind in enumerate([*KINDS[:3], "other", "other"]):
-        rows = found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(params.sample).collect()
-        out.setdefault(kind, []).extend(r.value for r in rows)
+        rows = ranked.where(F.col("kind") == k).orderBy("rank", F.xxhash64("value"), "value").limit(params.sample).collect()
+        taken = Counter(r.format for r in rows)
+        # formats beyond the sample are spread over those in it
+        lost = sum(n for (of, _), n in sizes.items() if of == k) / max(1, sum(sizes[k, f] for f in taken))
+        out.setdefault(kind, []).extend((r.value, lost * sizes[k, r.format] / taken[r.format]) for r in rows)
     return out
 
 
 def train(documents: DataFrame, params: SecretParams = SecretParams()) -> dict[str, Automaton]:
     """An automaton for each kind that has values, and one for other tokens."""
     values = credentials(documents, params)
-    # a token that is not credential-like is also a run of words: without any, letters and digits alike
-    examples = {k: [CLASSES[np.frombuffer(v.encode("latin-1"), np.uint8)].tolist() for v in vs] for k, vs in values.items()}
-    return {k: learn(v) for k, v in examples.items() if v or k == "other"}
+
+    def learned(found: list[tuple[str, float]]) -> Automaton:
+        return learn([CLASSES[np.frombuffer(v.encode("latin-1"), np.uint8)].tolist() for v, _ in found], weights=[w for _, w in found])
+
+    return {k: learned(v) for k, v in values.items() if v or k == "other"}
 
 
 def _added(scanned: Scanned, automata: dict[str, Automaton], params: SecretParams) -> list[tuple[int, int, int, int]]:
@@ -145,8 +171,9 @@ def _added(scanned: Scanned, automata: dict[str, Automaton], params: SecretParam
     if not known or not len(begin):
         return []
     symbols, sizes = CLASSES[scanned.data], end - begin
-    best = np.min([a.costs(symbols, begin, sizes) for a in known], axis=0)
-    found = automata["other"].costs(symbols, begin, sizes) - best > params.margin * sizes
+    other = automata["other"]
+    best = np.min([a.costs(symbols, begin, sizes) - a.prior for a in known], axis=0)
+    found = other.costs(symbols, begin, sizes) - other.prior - best > params.margin
     row = np.searchsorted(scanned.offsets, begin[found], side="right") - 1
     return [(r, b, 3, e) for r, b, e in zip(row.tolist(), begin[found].tolist(), end[found].tolist(), strict=True)]
 

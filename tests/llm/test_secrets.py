@@ -5,7 +5,9 @@ import numpy as np
 
 from slotledger.llm import secrets
 from slotledger.llm.automata import CLASSES, learn
+from slotledger.llm.queries import op7_secret_formats
 from slotledger.llm.shared import ship
+from tests.conftest import SF_DIR
 from tests.llm.rows import awkward, documents, words
 
 KEY = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -105,3 +107,35 @@ def test_short_digitless_and_partly_covered_tokens_are_scored(spark):
     assert found == expected
     clean = {r.doc_id: r.text for r in secrets.redact(table, automata, "[S]").where("doc_id >= 900").collect()}
     assert clean[902] == "[S][S] x"
+
+
+def test_no_ordinary_word_of_the_samples_is_a_secret(spark):
+    """The samples plant credentials in the base patterns only: what else has their format is a word."""
+    spans = [s.split(":")[0] for r in op7_secret_formats(spark, SF_DIR).collect() for s in r.spans.split(",") if s]
+    assert len(spans) > 20 and spans.count("format") == 0
+
+
+def test_a_rare_format_is_learned_from_many_values(spark):
+    """One value in 5,000 has the format; the others, and the words, are far more than a sample holds."""
+    ship(spark)
+    rng = random.Random(6)
+    rare = lambda: "zq-" + "".join(rng.choice("ABCDEFGHJK0123456789") for _ in range(24))
+    common = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12))
+    docs = [(k, f'{words(k, 40)} token = "{common()}" x api_key: {common()}') for k in range(5000)]
+    docs += [(6000 + k, f'{words(k, 40)} token = "{rare()}"') for k in range(2)]
+    planted = [(9000 + k, f"{words(k, 30)} {rare()} {words(k, 30)}") for k in range(40)]
+    plain = [(9500 + k, words(70_000 + k, 200)) for k in range(40)]
+    automata = secrets.train(documents(spark, docs))
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(documents(spark, planted + plain), automata).collect()}
+    hits = [found[i] == [("format", m.start(), m.end())] for i, t in planted for m in [re.search("zq-[A-Z0-9]+", t)]]
+    false = sum(len(found[i]) for i, _ in plain)
+    assert sum(hits) / len(hits) >= 0.85 and false == 0
+
+
+def test_samples_take_every_format_and_stand_for_all_values(spark):
+    ship(spark)
+    docs = [(k, f"secret={'a' * 6}{k:06d} x") for k in range(300)] + [(900, "secret=ABC-DEF-GHI")]
+    found = secrets.credentials(documents(spark, docs), secrets.SecretParams(sample=20))["assign"]
+    assert len(found) == 20 and "ABC-DEF-GHI" in [v for v, _ in found]
+    assert abs(sum(w for _, w in found) - 301) < 1e-6
+    assert dict(found)["ABC-DEF-GHI"] == 1
