@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,3 +162,86 @@ def test_all_terms_of_a_seed_count():
     expected = np.zeros(len(docs))
     np.add.at(expected, index.docs, np.where(np.repeat(index.terms, index.ends - index.heads) < 200, index.weights, 0))
     assert np.allclose(index.scores(0), expected)
+
+
+def greedy(docs, window, params):
+    """Packing as it is said, with dictionaries: (document, start, length) of each sequence in turn."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = {}
+    for d in docs:
+        for t in set(d):
+            df[t] = df.get(t, 0) + 1
+
+    def score(seed, other):
+        total, norm = 0.0, params.k1 * (1 - params.b + params.b * len(docs[other]) / mean)
+        for t in sorted(set(docs[seed])):
+            tf = docs[other].count(t)
+            if tf:
+                total += math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (params.k1 + 1) / (tf + norm)
+        return total
+
+    unused, sequences, now, room, rest = list(range(n)), [], [], window, None
+    while rest or unused:
+        doc, start = rest or (unused.pop(0), 0)
+        take = min(len(docs[doc]) - start, room)
+        now.append((doc, start, take))
+        room, rest = room - take, (doc, start + take) if start + take < len(docs[doc]) else None
+        if not rest and room:
+            ranked = sorted((k for k in unused if score(doc, k) > 0), key=lambda k: (-score(doc, k), k))
+            cut = None
+            for k in ranked:
+                if len(docs[k]) <= room:
+                    now.append((k, 0, len(docs[k])))
+                    room -= len(docs[k])
+                    unused.remove(k)
+                    if not room:
+                        break
+                elif cut is None:
+                    cut = k
+            if room and cut is not None:
+                now.append((cut, 0, room))
+                unused.remove(cut)
+                room, rest = 0, (cut, now[-1][2])
+        if not room:
+            sequences.append(now)
+            now, room = [], window
+    return sequences, now
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_greedy_filling_is_that_of_its_definition(seed):
+    rng = random.Random(seed)
+    docs = [[rng.randrange(60) for _ in range(rng.randrange(1, 70))] for _ in range(60)]
+    params = packing.PackParams(window=100)
+    pieces = packing.pack_shard(np.array(sum(docs, []), "<u2"), np.cumsum([0, *map(len, docs)]), params)
+    sequences, last = greedy(docs, 100, params)
+    found = {}
+    for doc, start, length, sequence, _ in pieces:
+        found.setdefault(sequence, []).append((doc, start, length))
+    assert [found[k] for k in range(len(sequences))] == sequences
+    # what is left is the same documents, cut into powers of two
+    rest = [p for k in range(len(sequences), len(found)) for p in found[k]]
+    assert sum(p[2] for p in rest) == sum(p[2] for p in last)
+
+
+def test_near_copies_are_placed_in_one_shard(spark):
+    ship(spark)
+    pairs = [(2 * k + s, words(k, 120) + f" {words(1000 + 2 * k + s, 6)}") for k in range(150) for s in (0, 1)]
+    random.Random(5).shuffle(pairs)
+    params = packing.PackParams(window=256, shard_bytes=6_000)
+    shard = {r.doc_id: r.shard for r in packing.pack(documents(spark, pairs), tokenizer_path(WORD_MODEL), params).collect()}
+    assert len(set(shard.values())) >= 15
+    assert sum(shard[2 * k] == shard[2 * k + 1] for k in range(150)) >= 90  # by chance 10
+
+
+def test_many_equal_rows_are_dealt_to_several_shards(spark):
+    ship(spark)
+    rows = [(None, words(1, 50))] * 200 + [(7, words(2, 50))] * 200 + [(k, words(k, 50)) for k in range(100, 150)]
+    params = packing.PackParams(window=256, shard_bytes=10_000)
+    found = packing.pack(documents(spark, rows), tokenizer_path(WORD_MODEL), params).collect()
+    whole = [r for r in found if r.start == 0]
+    assert len(whole) == len(rows) and sum(r.length for r in found) == sum(r.doc_tokens for r in whole)
+    for doc_id in (None, 7):
+        counts = Counter(r.shard for r in whole if r.doc_id == doc_id)
+        assert len(counts) > 3 and max(counts.values()) <= 100
+    assert all(r.offset + r.length <= 256 for r in found)
