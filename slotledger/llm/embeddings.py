@@ -5,8 +5,8 @@ is a tile. In a tile each unit vector u is ``scale * q + e`` with q in int8; e i
 
     |u.v - scale_u scale_v q_u.q_v|  <=  |e_u| |v'| + |e_v| |u'| + |e_u| |e_v|,   x' = scale * q,
 
-with the norms taken of the vectors at hand. The products q_u.q_v are whole numbers below 2**24 and
-exact in single precision. Only pairs that the bound leaves possible are computed again in double
+with the norms taken of the vectors at hand. Up to 1,040 components the products q_u.q_v are whole
+numbers below 2**24 and exact in single precision; beyond, their rounding is bounded too. Only pairs that the bound leaves possible are computed again in double
 precision from the vectors themselves. Blocks have a centre and an angular radius; tiles whose caps
 are too far apart for any link are skipped.
 
@@ -61,8 +61,11 @@ def possible(a: Quantised, rows: slice, b: Quantised, threshold: float) -> np.nd
     product = a.q[rows] @ b.q.T
     product *= a.scale[rows, None].astype(np.float32)
     product *= b.scale[None, :].astype(np.float32)
-    # 1e-5 covers the rounding of these products; the quantisation error is bounded for each vector
-    bound = np.outer(a.error[rows], b.near + b.error) + np.outer(a.near[rows], b.error) + 1e-5
+    # 1e-5 covers the rounding of these products, and of their sums where these outgrow single
+    # precision; the quantisation error is bounded for each vector
+    dim = a.q.shape[1]
+    slack = 1e-5 + (dim * 2.0**-23 if dim * 127 * 127 >= 1 << 24 else 0.0)
+    bound = np.outer(a.error[rows], b.near + b.error) + np.outer(a.near[rows], b.error) + slack
     return product + bound.astype(np.float32) >= threshold
 
 
@@ -113,16 +116,21 @@ def near_vectors(vectors: DataFrame, params: CosineParams = CosineParams()) -> D
 
     ``n_links``: the other vectors whose cosine with this one reaches the threshold. Vectors that
     are null, empty, zero or hold a null or a component that is not finite link with nothing, as do
-    vectors of different lengths. Rows that repeat a vec_id are vectors of their own with one id. A
+    vectors of different lengths. However large or small finite components are, their cosines count. Rows that repeat a vec_id are vectors of their own with one id. A
     null vec_id has a null component and is kept; its vector links with nothing. Other columns are
     not read. An empty table gives an empty result.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    sound = F.col("vec_id").isNotNull() & finite("embedding") & (norm > 0) & (norm < float("inf"))
-    rows = rows.withColumn("vector", F.when(sound, F.transform("embedding", lambda x: x + F.lit(0.0))))
+    largest = F.array_max(F.transform("embedding", F.abs))
+    sound = F.col("vec_id").isNotNull() & finite("embedding") & (largest > 0)
+    # a cosine has no scale: vectors whose squares leave the range of doubles are brought near 1 by powers of two
+    power = F.floor(F.log2(largest))
+    scale = F.when(power.between(-400, 400), F.lit(0)).otherwise(-power)
+    half = F.floor(scale / 2)
+    scaled = F.transform("embedding", lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), scale - half) + F.lit(0.0))
+    rows = rows.withColumn("vector", F.when(sound, scaled))
     classes = written(
         rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")),
         "vector-classes",

@@ -216,7 +216,12 @@ def fit(x: np.ndarray, y: np.ndarray, params: QualityParams = QualityParams()) -
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, params: QualityParams = QualityParams()) -> Gam:
-    """Fit on ``labels(doc_id, quality)`` where ``learn`` holds, a condition on doc_id."""
+    """Fit on ``labels(doc_id, quality)`` where ``learn`` holds, a condition on doc_id.
+
+    At most ``sample`` labels are taken, those of the smallest hashes. Null labels or doc_ids, labels
+    other than 0 and 1, and labels without a document teach nothing; a doc_id with both labels is an
+    example of each. Without any labels every score is that of no evidence. Other columns are not read.
+    """
     spark = documents.sparkSession
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
@@ -237,7 +242,9 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, params: Qualit
 
     # at most ``sample`` small rows, so the hint is safe
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = joined.mapInArrow(work, "doc_id long, quality int, x array<double>").collect()
+    rows = joined.mapInArrow(work, "doc_id long, quality int, x array<double>")
+    # rows that repeat a doc_id are one example for each label that it has, so these are ``sample`` rows at most
+    rows = rows.groupBy("doc_id", "quality").agg(F.max("x").alias("x")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r.quality) for r in rows]), params)

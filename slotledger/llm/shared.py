@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one of our own only where the session names none."""
     named = spark.conf.get(CHECKPOINT_DIR, "") or spark.sparkContext.getConf().get(CHECKPOINT_DIR, "")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} names no folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="slotledger-shared-")
         spark.conf.set(CHECKPOINT_DIR, named)
     return named.rstrip("/")

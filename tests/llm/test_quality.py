@@ -58,3 +58,22 @@ def test_held_out_accuracy_on_the_samples(spark):
     found = op8_additive_quality(spark, SF_DIR).where("held_out").join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id")
     right, rows = found.agg(F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
     assert right >= 0.95 * rows
+
+
+def test_a_repeated_doc_id_is_one_example(spark):
+    ship(spark)
+    table = documents(spark, [(1, words(k, 30)) for k in range(300)] + [(2, "$$$ " * 30)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (1, 1)], "doc_id long, quality int")
+    model = quality.train(table, labels, F.lit(True), quality.QualityParams(sample=4))
+    assert 0 <= quality.score(table, model).where("doc_id = 2").first().score <= 1
+
+
+def test_ties_and_very_long_texts(spark):
+    ship(spark)
+    long = words(3, 60_000)
+    table = documents(spark, [(1, long), (2, long), (3, "a" * 500_000)])
+    model = quality.train(table, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
+    scores = {r.doc_id: (r.score, r.predicted) for r in quality.score(table, model).collect()}
+    assert scores == {k: (0.5, 0) for k in (1, 2, 3)}
+    at_the_threshold = quality.score(table, model, quality.QualityParams(threshold=0.5)).collect()
+    assert all(r.predicted == 1 for r in at_the_threshold)

@@ -73,3 +73,29 @@ def test_links_and_components_match_brute_force(spark):
             k = r.vec_id - 1
             assert (r.n_links, r.component_id, r.kept) == (linked[k].sum(), component[k], component[k] == r.vec_id)
     assert near_vectors(table.where("false")).collect() == []
+
+
+def test_components_far_from_one(spark):
+    ship(spark)
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [2e-200, 2e-200]), (5, [1.0, 1.0]), (6, [5e-324, 0.0]), (7, [-1e300, 1e300])]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {**{k: (4, 1) for k in range(1, 6)}, 6: (0, 6), 7: (0, 7)}
+
+
+def test_products_beyond_single_precision(spark):
+    """2,048 components of one sign: the sums of products are no longer exact."""
+    rng = np.random.default_rng(8)
+    a = Quantised(np.abs(rng.normal(size=(60, 2048))) + 3)
+    b = Quantised(a.data * (1 + 0.4 * rng.normal(size=(60, 2048))))
+    cosine = (a.data / a.norm[:, None]) @ (b.data / b.norm[:, None]).T
+    for threshold in (0.85, 0.9, float(np.sort(cosine.ravel())[1800]), float(cosine.max())):
+        assert possible(a, slice(0, 60), b, threshold)[cosine >= threshold].all()
+
+
+def test_repeated_ids_are_candidates_of_their_own(spark):
+    ship(spark)
+    top = top_k(
+        spark.createDataFrame([(1, [1, 0]), (1, [2, 0]), (2, [1, 1])], "id long, vector array<long>").where("id = 2"),
+        spark.createDataFrame([(1, [1, 0]), (1, [2, 0]), (2, [1, 1])], "id long, vector array<long>"),
+    ).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in top) == [(1, 1, 2), (2, 1, 1)]
