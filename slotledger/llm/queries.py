@@ -77,6 +77,7 @@ def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(documents, model).select(
         "doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 
