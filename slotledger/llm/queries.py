@@ -145,7 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_systematic_mix": op13_systematic_mix,
 }
 
-#: What the operators on texts and vectors compute is not SQL: MinHash, merges, files, models, packing.
+#: Merges, files, models and packing are not SQL. Links and searches are, as comparisons of all pairs, which the samples allow.
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_top_k": """
 with v as (
@@ -158,6 +158,45 @@ with v as (
 )
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from s qualify rank <= 20""",
+    "op2_minhash_near_dedup": r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+    else list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) end as s
+  from w
+), each as (
+  select doc_id, len(s) as n, unnest(s) as g from s
+), shared as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as common
+  from each a join each b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+), link as (
+  select a, b from shared where 100 * common >= 80 * (n + m - common)
+), least as (
+  with recursive reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a)
+  select a as doc_id, min(b) as b from reach group by a
+)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, least(s.doc_id, coalesce(least.b, s.doc_id)) as component_id,
+  s.doc_id <= coalesce(least.b, s.doc_id) as kept
+from s left join least on least.doc_id = s.doc_id""",
+    "op10_quantised_cosine": """
+with v as (
+  select vec_id, [cast(x as double) for x in embedding] as e from embeddings
+), u as (
+  select vec_id, e, sqrt(list_dot_product(e, e)) as norm from v
+  where e is not null and len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0 and list_dot_product(e, e) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), linked as (
+  select a as vec_id, count(*) as n from link group by a
+), least as (
+  with recursive reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a)
+  select a as vec_id, min(b) as b from reach group by a
+)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id <= coalesce(b, vec_id) as kept
+from embeddings left join linked using (vec_id) left join least using (vec_id)""",
     "op5_preference_chat": r"""
 with t as (
   select conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, '') as role, coalesce(text, '') as text,
