@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.inputs import AS_OF, Inputs, duckdb_sql
@@ -15,6 +15,7 @@ from slotledger.functions import predicates as only
 from slotledger.functions.rounding import round_columns, to_nearest
 from slotledger.operators import quantiles
 from slotledger.operators.blocks import asof_backward, lag_row, running_steps
+from slotledger.operators.topk import first_of_each, listed
 from slotledger.plans import attribution, matrix, provisioning, slots, storage, trickle
 from slotledger.sources.config import with_rule
 from slotledger.sources.tables import chosen_scope, in_scope
@@ -429,11 +430,8 @@ def running_bytes(i: Inputs) -> DataFrame:
 
 
 def three_busiest(i: Inputs) -> DataFrame:
-    order = Window.partitionBy("reservation_id").orderBy(F.desc("n"), "user_email")
-    return (
-        i.jobs.groupBy("reservation_id", "user_email").agg(F.count("*").alias("n"))
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 3)
-    )
+    users = i.jobs.groupBy("reservation_id", "user_email").agg(F.count("*").alias("n"))
+    return first_of_each(users, ["reservation_id"], [F.desc("n"), "user_email"], 3)
 
 
 WINDOWS = {
@@ -511,9 +509,7 @@ WINDOWS = {
         ),
     ),
     "aggregate_ordered_text": (
-        lambda i: three_busiest(i).groupBy("reservation_id").agg(
-            F.expr("listagg(concat(user_email, ' (', n, ')'), ', ') within group (order by rank)").alias("users")
-        ),
+        lambda i: three_busiest(i).groupBy("reservation_id").agg(listed("concat(user_email, ' (', n, ')')", "rank").alias("users")),
         duckdb_sql(
             """with t as (select reservation_id, user_email, count(*) as n,
               row_number() over (partition by reservation_id order by count(*) desc, user_email) as rank

@@ -22,6 +22,16 @@ def top_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n).coalesce(1)
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column | str], n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each key, numbered from 1; every task keeps its own first ones before the shuffle."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+
+
+def listed(label: str, by: str) -> Column:
+    """An aggregate: the labels of a group in the order of ``by``, joined by commas."""
+    return F.expr(f"listagg({label}, ', ') within group (order by {by})")
+
+
 def most(df: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
     """The ``n`` rows with the highest whole numbers ``by``, equal ones by ``ties``; NULLs come last.
 

@@ -11,7 +11,7 @@ from slotledger.functions.rounding import round_columns
 from slotledger.functions.times import hour_and_weekday, since, whole_milliseconds, whole_seconds
 from slotledger.operators import quantiles
 from slotledger.operators.grids import week_grid
-from slotledger.operators.topk import top_rows
+from slotledger.operators.topk import first_of_each, listed, top_rows
 from slotledger.params import TrickleParams
 from slotledger.session import require_utc
 from slotledger.sources.tables import VIEW, in_view, shape_jobs
@@ -137,16 +137,13 @@ def trickle_summary(jobs: DataFrame, params: TrickleParams = TrickleParams()) ->
         .groupBy("reservation_id")
         .agg(F.count("*").alias("total_flagged_hours"), F.max("hourly_queries").alias("peak_hourly_queries"))
     )
-    busiest = Window.partitionBy("reservation_id").orderBy(F.desc("total_queries"), "project_id")
     labelled = F.concat(F.col("project_id"), F.lit(" ("), F.col("total_queries").cast("string"), F.lit(")"))
-    # the rank limit is applied inside each task before the shuffle
+    projects = in_flagged.groupBy("reservation_id", "project_id").agg(F.sum("query_count").alias("total_queries"))
     tops = (
-        in_flagged.groupBy("reservation_id", "project_id").agg(F.sum("query_count").alias("total_queries"))
-        .withColumn("rank", F.row_number().over(busiest))
-        .filter(F.col("rank") <= params.top_projects)
+        first_of_each(projects, ["reservation_id"], [F.desc("total_queries"), "project_id"], params.top_projects)
         .withColumn("label", labelled)
         .groupBy("reservation_id")
-        .agg(F.expr("listagg(label, ', ') within group (order by rank)").alias("top_projects"))
+        .agg(listed("label", "rank").alias("top_projects"))
     )
     return hours.join(tops, "reservation_id").select(
         "reservation_id", "total_flagged_hours", "peak_hourly_queries", "top_projects",
