@@ -58,12 +58,12 @@ class _State:
 
 
 def learn(
-    examples: list[list[int]], alpha: float = 0.01, least: int = 8, weights: list[float] | None = None
+    examples: list[list[int]], alpha: float = 0.01, least: int = 8, weights: list[float] | None = None, unseen: float = 0.1
 ) -> Automaton:
     """An automaton for ``examples`` of symbol classes; states seen fewer than ``least`` times always fit.
 
     States are merged by the examples as they are. ``weights`` tell for how many strings each stands,
-    which the chances of moves and the prior follow.
+    which the chances of moves and the prior follow. A move that was not seen counts as ``unseen`` examples.
     """
     states = [_State()]
     for example in examples:
@@ -128,17 +128,23 @@ def learn(
     for x, k in number.items():
         for symbol, y in states[x].next.items():
             move[k, symbol] = number[y]
-    return _counted(examples, move, weights or [1.0] * len(examples))
+    return _counted(examples, move, weights or [1.0] * len(examples), unseen)
 
 
-def _counted(examples: list[list[int]], move: np.ndarray, weights: list[float]) -> Automaton:
+def _counted(examples: list[list[int]], move: np.ndarray, weights: list[float], unseen: float) -> Automaton:
     """Chances of moves and ends, from running the examples through the merged automaton."""
-    counts, ends = np.full(move.shape, 0.1), np.full(len(move), 0.1)
+    # moves, and ends in the last column, of all strings and of the examples
+    strings, seen = np.zeros((len(move), N_CLASSES + 1)), np.zeros(len(move))
     for example, weight in zip(examples, weights, strict=True):
         at = 0
         for symbol in example:
-            counts[at, symbol] += weight
+            strings[at, symbol] += weight
+            seen[at] += 1
             at = move[at, symbol]
-        ends[at] += weight
-    total = counts.sum(axis=1) + ends
-    return Automaton(move, -np.log(counts / total[:, None]), -np.log(ends / total), log(max(sum(weights), 1.0)))
+        strings[at, N_CLASSES] += weight
+        seen[at] += 1
+    # an example that was not seen weighs as those that were seen in its state
+    whole = strings.sum(axis=1)
+    strings += unseen * np.where(seen > 0, whole / np.maximum(seen, 1), 1.0)[:, None]
+    cost = -np.log(strings / strings.sum(axis=1, keepdims=True))
+    return Automaton(move, cost[:, :N_CLASSES], cost[:, N_CLASSES], log(max(sum(weights), 1.0)))

@@ -158,10 +158,12 @@ def train(documents: DataFrame, params: SecretParams = SecretParams()) -> dict[s
     """An automaton for each kind that has values, and one for other tokens."""
     values = credentials(documents, params)
 
-    def learned(found: list[tuple[str, float]]) -> Automaton:
-        return learn([CLASSES[np.frombuffer(v.encode("latin-1"), np.uint8)].tolist() for v, _ in found], weights=[w for _, w in found])
+    def learned(kind: str, found: list[tuple[str, float]]) -> Automaton:
+        examples = [CLASSES[np.frombuffer(v.encode("latin-1"), np.uint8)].tolist() for v, _ in found]
+        # what a sample of all other tokens does not show may well be one of them
+        return learn(examples, weights=[w for _, w in found], unseen=1.0 if kind == "other" else 0.1)
 
-    return {k: learned(v) for k, v in values.items() if v or k == "other"}
+    return {k: learned(k, v) for k, v in values.items() if v or k == "other"}
 
 
 def _added(scanned: Scanned, automata: dict[str, Automaton], params: SecretParams) -> list[tuple[int, int, int, int]]:
