@@ -304,8 +304,14 @@ class StoredInputs(Inputs):
 
 
 def store(inputs: Inputs, root: str, names: list[str] | None = None) -> StoredInputs:
-    """Write derived tables, by default all but those of special cases, and tell where they are read."""
-    for name in names or [n for n in TEXTS if n != "jobs_base" and not n.endswith(("_views", "_crowded"))]:
+    """Write derived tables, by default all but those of special cases, and give them as they are read back."""
+    names = names or [n for n in TEXTS if n != "jobs_base" and not n.endswith(("_views", "_crowded"))]
+    shared = sum("jobs" in _needed([n]) for n in names) > 1
+    for name in names:
+        if shared and name == "jobs":
+            # what derives from jobs reads these rows, which have more columns than the product's
+            inputs.jobs.write.parquet(f"{root}/derived/jobs")
+            inputs.jobs = inputs.spark.read.parquet(f"{root}/derived/jobs")
         table, folder = _place(name)
         made = getattr(inputs, name)
         if name == "attribution_config":
