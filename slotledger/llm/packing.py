@@ -1,7 +1,7 @@
 """Packing documents into training sequences, each seed's window filled with its lexical neighbours.
 
 Documents are put in the order of the rarest terms that they hold, rare by a weighted random order of
-all terms, and dealt to shards of bounded size along it: documents that share rare terms, copies and
+all terms (how many of all documents of the table hold them), and dealt to shards of bounded size along it: documents that share rare terms, copies and
 passages among them, are in one shard more often than by chance, how often is in the README. A shard
 is an inverted BM25 index over the token ids of its documents, weighted by the statistics of all
 documents of the table. Packing takes the unused documents in turn as seeds; the index returns the
@@ -31,8 +31,6 @@ PIECES = (
 )
 
 
-#: Bytes of a document that may be in the sample by which terms are called rare.
-PLACED_BYTES = 1 << 16
 #: Bytes of ids that a task packs, where there are more than the session's tasks would take.
 TASK_BYTES = 128 << 20
 
@@ -41,14 +39,13 @@ TASK_BYTES = 128 << 20
 class PackParams:
     """``shard_bytes``: text in a shard; a task's last one may have less.
 
-    ``placed_by``: documents by which terms are called rare where shards are chosen, those of the smallest
-    hashes; scores follow all documents. ``cached_words``: words whose ids a worker keeps.
+    ``placing_terms``: first terms by which a document is placed. ``cached_words``: words whose ids a
+    worker keeps.
     """
 
     window: int = 4096
     end_id: int = 2
     shard_bytes: int = 3_000_000
-    placed_by: int = 2_000
     placing_terms: int = 3
     k1: float = 1.2
     b: float = 0.75
@@ -200,24 +197,14 @@ def statistics(encoded: DataFrame, dtype: str, terms: int) -> Corpus:
     return Corpus(int(total[terms]), int(total[terms + 1]), total[:terms])
 
 
-def placing_order(documents: DataFrame, rows: int, encoder: WordEncoder, terms: int, params: PackParams) -> np.ndarray:
-    """The place of each term in a random order that puts terms first by how rare they are in a sample.
-
-    The sample is bounded: ``placed_by`` of the ``rows`` documents, of at most ``PLACED_BYTES`` each.
+def placing_order(corpus: Corpus) -> np.ndarray:
+    """The place of each term in a random order that puts terms first by how rare they are in all documents.
 
     The first terms of two documents in this order agree about as often as they share what they
     hold, terms weighted by rarity.
     """
-    short = documents.select("text").where(F.octet_length("text") <= PLACED_BYTES)
-    # about twice as many have a hash below this, so that tasks do not send the driver many times the sample
-    share = min(1.0, 2 * (params.placed_by + 50) / max(1, rows))
-    some = short.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = some.orderBy(F.xxhash64("text"), "text").limit(params.placed_by).collect()
-    df = np.zeros(terms, np.int64)
-    for row in rows:
-        ids, _ = encoder.encode([row.text], params.end_id)
-        df[np.unique(ids)] += 1
-    idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+    terms = len(corpus.df)
+    idf = np.log1p((corpus.count - corpus.df + 0.5) / (corpus.df + 0.5))
     drawn = (mix(np.arange(1, terms + 1, dtype=np.uint64)) >> np.uint64(11)).astype(float) + 1
     order = np.argsort(-np.log(drawn / 2.0**53 / (1 + 2.0**-50)) / np.maximum(idf, 1e-9), kind="stable")
     place = np.empty(terms, np.int32)
@@ -265,8 +252,6 @@ def pack(documents: DataFrame, model_path: str, params: PackParams = PackParams(
     encoder = load(model_path, params.cached_words)
     terms = max(encoder.vocabulary, params.end_id + 1)
     dtype = "<u2" if terms <= 1 << 16 else "<u4"
-    # one number for each term of the model
-    place = docs.sparkSession.sparkContext.broadcast(placing_order(docs, docs.count(), encoder, terms, params))
     keys = [f"key_{k}" for k in range(params.placing_terms)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,14 +259,16 @@ def pack(documents: DataFrame, model_path: str, params: PackParams = PackParams(
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, offsets = encoder.encode(part.column("text"), params.end_id)
-                first = _first_places(place.value, ids, offsets, params.placing_terms)
                 ids = ids.astype(dtype)
                 packed = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 size = pc.add(pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64()), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(packed, pa.binary()), size, *(pa.array(v, pa.int32()) for v in first)],
-                    ["doc_id", "ids", "size", *keys],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), size], ["doc_id", "ids", "size"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                first = _first_places(place.value, *blobs(part.column("ids"), dtype), params.placing_terms)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, pa.int32()) for v in first)], [*part.schema.names, *keys])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in enumerate(_cut(batches, params.shard_bytes)):
@@ -296,12 +283,15 @@ def pack(documents: DataFrame, model_path: str, params: PackParams = PackParams(
             names = [c.split()[0] for c in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    schema = ", ".join(["doc_id long, ids binary, size long", *(f"{k} int" for k in keys)])
+    schema = "doc_id long, ids binary, size long"
     encoded = written(docs.mapInArrow(encode, schema), "packing-ids")
     corpus = statistics(encoded, dtype, terms)
+    # one number for each term of the model
+    place = docs.sparkSession.sparkContext.broadcast(placing_order(corpus))
+    placed = encoded.mapInArrow(put, ", ".join([schema, *(f"{k} int" for k in keys)]))
     # the place in the table just written parts rows that are equal in all else
     order = [*keys, "_hash", "_row"]
-    dealt = encoded.withColumns({"_hash": F.xxhash64("doc_id"), "_row": F.monotonically_increasing_id()})
+    dealt = placed.withColumns({"_hash": F.xxhash64("doc_id"), "_row": F.monotonically_increasing_id()})
     # as many tasks as the session sets, or more where each would read more than is good for one
     spark = docs.sparkSession
     needed = -(-corpus.tokens * np.dtype(dtype).itemsize // TASK_BYTES)

@@ -151,6 +151,24 @@ def test_weights_follow_all_documents_not_those_of_a_shard(spark, tokenizer):
             assert np.isclose(w, idf * tf * (params.k1 + 1) / (tf + norm))
 
 
+def test_terms_are_rare_by_all_documents(spark, tokenizer, monkeypatch):
+    """The order of terms follows the counts of all rows, more than 2,000 and one of them longer than 64 KB."""
+    ship(spark)
+    texts = [(k, f"alpha w{k % 50} {words(k % 9, 3)}") for k in range(2_300)] + [(5_000, "omega " + "beta " * 20_000)]
+    seen, real = [], packing.placing_order
+    monkeypatch.setattr(packing, "placing_order", lambda corpus: seen.append(corpus) or real(corpus))
+    found = packing.pack(documents(spark, texts), tokenizer_path(WORD_MODEL), packing.PackParams(shard_bytes=50_000))
+    assert found.select("doc_id").distinct().count() == len(texts)
+    df = np.zeros(len(seen[0].df), np.int64)
+    for _, t in texts:
+        df[sorted({*tokenizer.encode(t, add_special_tokens=False).ids, 2})] += 1
+    assert seen[0].count == len(texts) and (seen[0].df == df).all()
+    place = real(seen[0])
+    assert sorted(place.tolist()) == list(range(len(df)))
+    one = packing.Corpus(seen[0].count, seen[0].tokens, np.where(np.arange(len(df)) == 2, 1, df))
+    assert real(one)[2] < place[2]  # rarer, hence earlier
+
+
 def test_all_terms_of_a_seed_count():
     """A long seed: what shares its 49th or a later term is found, and scores are sums over all terms."""
     docs = [list(range(200)), *[[k] for k in range(200)], [500]]
