@@ -145,3 +145,65 @@ def test_several_views_without_a_project_are_refused(spark):
 def test_a_table_of_one_view_needs_no_project(spark):
     plain = rows.jobs(spark, {}, {})
     assert tables.in_view(plain, JobCostParams(admin_project_id="other")).count() == 2
+
+
+def test_a_view_without_days_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    given = spark.range(3_000).select(
+        F.timestamp_seconds(F.col("id") + 1704067200).alias("change_timestamp"), F.lit("p").alias("project_id"),
+        F.col("id").cast("string").alias("capacity_commitment_id"), F.lit("CREATE").alias("action"),
+        F.lit(100).alias("slot_count"), F.lit("ACTIVE").alias("state"), F.lit("ENTERPRISE").alias("edition"),
+        F.when(F.col("id") % 10 == 0, "other").otherwise("org-main").alias(tables.VIEW),
+    )
+    tables.write_table(given, str(tmp_path), "capacity_commitment_changes")
+    root = tmp_path / "capacity_commitment_changes"
+    assert len([*(root / f"{tables.VIEW}=org-main").glob("*.parquet")]) >= 20
+    back = spark.read.parquet(str(root)).select(*given.columns)
+    assert back.exceptAll(given).count() == given.exceptAll(back).count() == 0
+    largest = back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert largest <= 300
+
+
+def test_logs_are_cut_by_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    given = rows.jobs(spark, *[dict(job_id=str(k), creation_time=at("2024-01-03 10:00:00")) for k in range(1)])
+    given = given.drop("creation_time").crossJoin(
+        spark.range(2_000).select(F.timestamp_seconds(F.col("id") + 1704067200).alias("creation_time"))
+    )
+    tables.write_table(given, str(tmp_path), "jobs")
+    back = tables.read_table(spark, str(tmp_path), "jobs")
+    assert back.count() == 2_000
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_derived_numbers_and_seconds_are_those_of_the_plain_text(spark):
+    """Numbers by blocks against one window, with nulls, equal times and repeated rows."""
+    from checks import inputs as derived
+
+    base = [(k, None if k % 17 == 0 else 1704067200000000 + (k * 7919 % 400) * 1_000_000 * (k % 3)) for k in range(300)]
+    base += [(None, 1704067200000000), (None, None), *base[:20]]
+    jobs_base = spark.createDataFrame(base, "event_id long, us long")
+    jobs_base.createOrReplaceTempView("numbered_jobs_base")
+    plain = spark.sql(
+        "select us, event_id % 3 as rid, row_number() over (partition by event_id % 3 order by us, event_id) as k from numbered_jobs_base"
+    )
+    found = derived.numbered(jobs_base, 3)
+    assert found.schema.simpleString() == plain.schema.simpleString()
+    assert found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(rid" in plan and ", minute" in plan.split("row_number()")[1]
+    for name in ("reservation_changes", "capacity_commitment_changes"):
+        assert derived.NUMBERED.search(derived.TEXTS[name])
+
+    jobs = spark.createDataFrame(
+        [("a", "p", "r", "QUERY", None, 5, 6, 1704067200500000, 4500, 9001), ("b", "p", None, None, "SELECT", None, 7, 1704067201000000, 0, None)],
+        "job_id string, project_id string, reservation_id string, job_type string, statement_type string, total_bytes_billed long, "
+        "total_bytes_processed long, us long, dur_ms long, total_slot_ms long",
+    )
+    texts = [derived.TEXTS["jobs_timeline"], derived.SPARK_TEXTS["jobs_timeline"]]
+    for k, text in enumerate(texts):
+        for token, value in derived.DIALECTS["spark"].items():
+            text = text.replace(token, value)
+        texts[k] = spark.sql(text.replace("from jobs", "from {jobs}"), jobs=jobs)
+    assert texts[0].schema.simpleString() == texts[1].schema.simpleString()
+    assert texts[0].exceptAll(texts[1]).count() == texts[1].exceptAll(texts[0]).count() == 0 and texts[1].count() == 6
