@@ -96,3 +96,62 @@ def test_empty_tables(spark):
     assert py.score(empty, model).collect() == []
     r = py.score(documents(spark, [(1, "a b")]), model).first()
     assert (r.n_tokens, r.n_known, r.score) == (3, 0, 0.0)
+
+
+def test_each_word_before_has_its_own_restaurant(spark):
+    """Two words that end alike and share low bits of their hash are followed by different words."""
+    import pyarrow as pa
+
+    ship(spark)
+    names = [f"{k}z" for k in range(3_000)]
+    hashes = py.tokens(pa.array([" ".join(names)]))[0][:-1]
+    low = hashes & np.uint64(1023)
+    one, two = next((i, j) for i in range(len(names)) for j in range(i) if low[i] == low[j])
+    texts = [(k, f"{names[one]} left" if k % 2 else f"{names[two]} right") for k in range(200)]
+    word, context, row = py.tokens(pa.array([texts[0][1], "", texts[1][1]]))
+    end = word[2]
+    assert context.tolist() == [end, word[0], word[1], end, end, word[4], word[5]]
+    assert word[0] == hashes[two] and word[4] == hashes[one] and row.tolist() == [0, 0, 0, 1, 2, 2, 2]
+    table = documents(spark, [*texts, (1000, f"{names[one]} right"), (1001, f"{names[two]} left")])
+    found = {r.doc_id: r.score for r in py.score(table, py.train(table, F.col("doc_id") < 1000)).collect()}
+    assert min(found[0], found[1]) > max(found[1000], found[1001]) + 1
+
+
+def test_buckets_agree_on_the_numbers_of_the_whole_corpus(spark):
+    """Customers and tables of each context and word, added up over all buckets after the last sweep."""
+    ship(spark)
+    table = documents(spark, [(k, words(k % 9, 150)) for k in range(60)] + [(60, "once")])
+    params = py.PitmanYorParams(bucket_tokens=300, batch_tokens=1_000)
+    model = py.train(table, F.col("doc_id") % 5 != 0, params)
+    buckets = []
+    for row in model.counts.collect():
+        scorer = py.Scorer(row.asDict(), row["bucket"], model.corpus, model.totals, params)
+        buckets.append(scorer.bucket)
+    assert len(buckets) > 4
+    sums = [Counter() for _ in range(4)]
+    for b in buckets:
+        for at, key in ((b.word, b.words), (b.context, b.contexts)):
+            for k, (n, t) in enumerate(zip(b.count, b.tables, strict=True)):
+                sums[0 if key is b.words else 2][int(key[at[k]])] += int(n)
+                sums[1 if key is b.words else 3][int(key[at[k]])] += int(t)
+    root = {}
+    for b in buckets:
+        for name, keys, mine in ((0, b.words, b.seen), (1, b.words, b.customers), (2, b.contexts, b.size), (3, b.contexts, b.context_tables)):
+            assert [sums[name][int(k)] for k in keys] == mine.tolist()
+        root |= zip(b.words.tolist(), b.root_tables.tolist(), strict=True)
+    assert any(t > 1 for t in sums[3].values())
+    last = model.totals[-1]
+    assert (last.root, last.root_customers) == (sum(root.values()), sum(sums[1].values()))
+
+
+def test_other_documents_are_scored_by_the_same_model(spark):
+    ship(spark)
+    rows = [(k, words(k % 9, 60)) for k in range(40)]
+    params = py.PitmanYorParams(bucket_tokens=200, batch_tokens=500)
+    table = documents(spark, rows)
+    model = py.train(table, F.lit(True), params)
+    found = {r.doc_id: r.score for r in py.score(table, model).collect()}
+    others = documents(spark, [*rows[:5], (100, "unheard of words"), (101, None)])
+    again = {r.doc_id: r for r in py.score(others, model).collect()}
+    assert len(again) == 7 and all(math.isclose(again[k].score, found[k]) for k in range(5))
+    assert again[100].n_tokens == 4 and again[100].score < 0
